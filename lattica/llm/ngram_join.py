@@ -288,7 +288,7 @@ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
 bi AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-reach(x, y) AS (SELECT x, y FROM both UNION SELECT r.x, b.y FROM reach r JOIN bi b ON r.y = b.x),
+reach(x, y) AS (SELECT x, y FROM bi UNION SELECT r.x, b.y FROM reach r JOIN bi b ON r.y = b.x),
 low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low.y, w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.x = w.doc_id
