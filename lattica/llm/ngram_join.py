@@ -11,7 +11,9 @@ Sets of five-word shingles (64-bit hashes); two link when 100 * |x & y| >= 80 *
    partner must share). Tokens whose classes all lie in one component already need no more work;
    that is seen from a pre-aggregated least and greatest component. For the rest, pairs across
    components are formed with length and positional bounds, never two of a token's largest component.
-4. A pair must also share a prefix token under each random order; then the sets are intersected.
+4. A pair's bitmaps (a bit for each hash end, four or more bits a token) bound its overlap from
+   above: every bit that one side lacks is a token that it lacks. What the bound leaves must also
+   share a prefix token under each random order; then the sets are intersected.
 5. Components of all links. Every link between different components is found, so none is lost.
 
 Rows that share a doc_id are one node of the graph. Texts move only to be compared.
@@ -63,13 +65,35 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of the hashes' low ends: a power of two of them, four a token at least."""
+    n = 1 << max(8, int(4 * len(s) - 1).bit_length())
+    bits = np.zeros(n, bool)
+    bits[(s & np.uint64(n - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def may_link(nx: int, bx: bytes, ny: int, by: bytes, percent: int = PERCENT) -> bool:
+    """False only if the sets can't link: the overlap is at most |x| less the bits that y lacks."""
+    x, y = np.frombuffer(bx, np.uint8), np.frombuffer(by, np.uint8)
+    while len(x) > len(y):  # the longer one folded: its upper half has the same low ends
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    most = min(nx - int(_ONES[x & ~y].sum()), ny - int(_ONES[y & ~x].sum()))
+    return (100 + percent) * most >= percent * (nx + ny)
+
+
 def signed(x: np.ndarray | int) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. kind 0: a document's id, set size, digest, first tokens. kind 1: a task's
-    counts of one chunk of cells, compressed."""
+    """Rows of two kinds. kind 0: a document's id, set size, digest, first tokens, bitmap. kind 1: a
+    task's counts of one chunk of cells (n: the chunk; bits: the counts, compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
@@ -85,26 +109,27 @@ def survey(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                n, d1, d2, firsts = [], [], [], []
+                n, d1, d2, firsts, bits = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text)
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     n.append(len(s)), d1.append(int.from_bytes(d[:8], "little", signed=True)), d2.append(int.from_bytes(d[8:], "little", signed=True))
                     firsts.append(signed([(s * m).min() for m in ORDERS]).tolist() if len(s) else [])
+                    bits.append(bitmap(s) if len(s) else b"")
                     waiting.append(s)
                     size += len(s)
                     if size > 2_000_000:
                         count()
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names)
         count()
         for c in range(1 << (CELL_BITS - CHUNK_BITS)):
             own = cells[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
 
-    names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "cells"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, cells binary")
+    names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "bits"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, bits binary")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -121,7 +146,7 @@ def rarity(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["n", "cells"])
 
     parts = 1 << (CELL_BITS - CHUNK_BITS)
-    summed = counts.select("n", "cells").repartition(min(parts, 64), "n").mapInArrow(add, "n long, cells binary")
+    summed = counts.select("n", F.col("bits").alias("cells")).repartition(min(parts, 64), "n").mapInArrow(add, "n long, cells binary")
     out = np.zeros(1 << CELL_BITS, np.uint32)
     for r in summed.toLocalIterator():  # one row a chunk
         out[r["n"] << CHUNK_BITS : (r["n"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
@@ -199,6 +224,20 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(right, F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b; staged) that their bitmaps don't rule out, staged."""
+    sides = classes.select("cid", "n", "bits")
+    left = sides.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).join(small(pairs), "b")
+    right = sides.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [may_link(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return staged(left.join(right, "a").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long"), "screened")
+
+
 def candidates(marked: DataFrame) -> DataFrame:
     """(a, b) pairs of different components that share a prefix token and pass the length and
     positional bounds. ``marked``: postings of tokens that several components share, staged."""
@@ -218,16 +257,16 @@ def groups(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = staged(survey(docs), "survey")
-    slim = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "firsts")
+    slim = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "firsts", "bits")
     known = slim.where("doc_id is not null and n > 0")
-    classes = staged(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.first("firsts").alias("firsts")), "classes")
+    classes = staged(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "classes")
 
     # 2: stars around the least class of an equal first token
     keys = classes.select("cid", "n", F.posexplode("firsts").alias("o", "key"))
     hubs = keys.groupBy("o", "key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("o", "key", "hub")
     star = keys.join(hubs, ["o", "key"]).where(f"cid <> hub.cid and 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)")
     star = staged(star.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
-    near = staged(components(verified(docs, star)), "near")
+    near = staged(components(verified(docs, screened(classes, star))), "near")
 
     # 3: pairs across those components
     labelled = classes.select(F.col("cid").alias("doc_id")).distinct().join(small(near), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
@@ -237,7 +276,7 @@ def groups(docs: DataFrame) -> DataFrame:
     mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     marked = staged(posted.join(small(staged(mixed, "mixed")), "token"), "marked")
     pairs = staged(candidates(marked), "pairs")
-    found = verified(docs, pairs)
+    found = verified(docs, screened(classes, pairs))
 
     # 5: links between components
     comp = lambda side: labelled.select(F.col("doc_id").alias(side), F.col("comp").alias(f"c{side}"))
