@@ -5,7 +5,8 @@ Sets of five-word shingles (64-bit hashes); two link when 100 * |x & y| >= 80 *
 1. One pass over the texts gives for each row the set's size and digest, its first token under
    ``len(ORDERS)`` random orders, and counts of hash cells (a sketch of fixed size) that make the
    rarity order: by level of the cell, then by hash. Equal sets form one class (least doc_id).
-2. Under each random order, classes of an equal first token are compared with the least of them.
+2. Under each random order, classes of an equal first token are compared with one of them, that
+   whose tokens are the commonest: near copies share the tokens of what they were copied from.
    What links is merged: a group of near copies, however large, collapses in work linear in it.
 3. Under the rarity order every class sends its prefix (|x| - ceil(0.8 |x|) + 1 tokens, which any
    partner must share). Tokens whose classes all lie in one component already need no more work;
@@ -43,6 +44,8 @@ PERCENT = 80
 ORDERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: The rarity sketch has 2**CELL_BITS cells in chunks of 2**CHUNK_BITS.
 CELL_BITS, CHUNK_BITS = 24, 16
+#: Words of the folded bitmap that the pair join itself tests.
+WORDS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,12 +70,17 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     """Bits of the hashes' low ends: a power of two of them, four a token at least."""
-    n = 1 << max(8, int(4 * len(s) - 1).bit_length())
+    n = 1 << max(9, int(4 * len(s) - 1).bit_length())
     bits = np.zeros(n, bool)
     bits[(s & np.uint64(n - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def signature(bits: bytes) -> list[int]:
+    """A bitmap folded to ``WORDS`` words."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.int64).reshape(-1, WORDS), axis=0).tolist()
+
+
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -109,27 +117,28 @@ def survey(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                n, d1, d2, firsts, bits = [], [], [], [], []
+                n, d1, d2, firsts, bits, sig = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text)
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     n.append(len(s)), d1.append(int.from_bytes(d[:8], "little", signed=True)), d2.append(int.from_bytes(d[8:], "little", signed=True))
                     firsts.append(signed([(s * m).min() for m in ORDERS]).tolist() if len(s) else [])
                     bits.append(bitmap(s) if len(s) else b"")
+                    sig.append(signature(bits[-1]) if len(s) else [])
                     waiting.append(s)
                     size += len(s)
                     if size > 2_000_000:
                         count()
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names)
         count()
         for c in range(1 << (CELL_BITS - CHUNK_BITS)):
             own = cells[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.list_(pa.int64()))], names)
 
-    names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "bits"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, bits binary")
+    names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "bits", "sig"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, bits binary, sig array<long>")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -160,6 +169,21 @@ def ranks(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort((level << np.uint64(58)) | (s >> np.uint64(6)))
 
 
+def commonness(docs: DataFrame, levels_shared) -> DataFrame:
+    """(cid, common): the mean level of a document's tokens, in thousandths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(levels_shared.value, np.uint8)
+        for batch in batches:
+            mean = []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text)
+                mean.append(int(1000 * levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].mean()) if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.int64())], ["cid", "common"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "cid long, common long")
+
+
 def postings(docs: DataFrame, levels_shared) -> DataFrame:
     """(token, doc_id, comp, n, pos) of each prefix token. ``docs``: (doc_id, comp, text)."""
 
@@ -238,16 +262,24 @@ def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(left.join(right, "a").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long"), "screened")
 
 
-def candidates(marked: DataFrame) -> DataFrame:
-    """(a, b) pairs of different components that share a prefix token and pass the length and
-    positional bounds. ``marked``: postings of tokens that several components share, staged."""
+def candidates(marked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) pairs of different components that share a prefix token and pass the length,
+    positional and folded-bitmap bounds. ``marked``: postings of tokens that several components
+    share, staged."""
     size = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = size.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"))
-    own = marked.join(largest, "token")
-    a = own.where("comp <> big").select("token", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = own.select("token", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), (F.col("comp") == F.col("big")).alias("bb"))
+    words = classes.select(F.col("cid").alias("doc_id"), *(F.col("sig")[i].alias(f"s{i}") for i in range(WORDS)))
+    own = marked.join(largest, "token").join(small(words, 300_000), "doc_id")
+    side = lambda x: [F.col("doc_id").alias(x), F.col("comp").alias("c" + x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), *(F.col(f"s{i}").alias(f"{x}{i}") for i in range(WORDS))]
+    a = own.where("comp <> big").select("token", *side("a"))
+    b = own.select("token", *side("b"), (F.col("comp") == F.col("big")).alias("inbig"))
     need = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT}D)"
-    bound = f"ca <> cb and (bb or a < b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb) and 1 + least(na - pa - 1, nb - pb - 1) >= {need} - least(pa, pb)"
+    lacks = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(WORDS))
+    bound = (
+        f"ca <> cb and (inbig or a < b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+        f" and 1 + least(na - pa - 1, nb - pb - 1) >= {need} - least(pa, pb)"
+        f" and na - ({lacks('a', 'b')}) >= {need} and nb - ({lacks('b', 'a')}) >= {need}"
+    )
     return a.join(b, "token").where(bound).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
 
 
@@ -257,13 +289,19 @@ def groups(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = staged(survey(docs), "survey")
-    slim = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "firsts", "bits")
+    slim = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "firsts", "bits", "sig")
     known = slim.where("doc_id is not null and n > 0")
-    classes = staged(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits")), "classes")
+    classes = staged(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"), F.first("sig").alias("sig")), "classes")
 
-    # 2: stars around the least class of an equal first token
+    # 2: stars around the commonest class of an equal first token
+    levels = spark.sparkContext.broadcast(rarity(both.where("kind = 1")).tobytes())
     keys = classes.select("cid", "n", F.posexplode("firsts").alias("o", "key"))
-    hubs = keys.groupBy("o", "key").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("o", "key", "hub")
+    shared = keys.groupBy("o", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    keys = staged(keys.join(shared, ["o", "key"]), "keys")
+    common = staged(commonness(docs.join(small(staged(keys.select(F.col("cid").alias("_cid")).distinct(), "members")), F.col("doc_id") == F.col("_cid")), levels), "common")
+    common = common.groupBy("cid").agg(F.max("common").alias("common"))  # rows that share an id
+    keys = keys.join(small(common), "cid")
+    hubs = keys.groupBy("o", "key").agg(F.min(F.struct((-F.col("common")).alias("rare"), "cid", "n")).alias("hub"))
     star = keys.join(hubs, ["o", "key"]).where(f"cid <> hub.cid and 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)")
     star = staged(star.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
     near = staged(components(verified(docs, screened(classes, star))), "near")
@@ -271,11 +309,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # 3: pairs across those components
     labelled = classes.select(F.col("cid").alias("doc_id")).distinct().join(small(near), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     labelled = staged(labelled, "labelled")
-    levels = spark.sparkContext.broadcast(rarity(both.where("kind = 1")).tobytes())
     posted = staged(postings(docs.join(small(labelled), "doc_id"), levels), "postings")
     mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     marked = staged(posted.join(small(staged(mixed, "mixed")), "token"), "marked")
-    pairs = staged(candidates(marked), "pairs")
+    pairs = staged(candidates(marked, classes), "pairs")
     found = verified(docs, screened(classes, pairs))
 
     # 5: links between components
