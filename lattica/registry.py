@@ -1,6 +1,259 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL.
+
+``events`` by event_id is a 1-d array (dense 0..N-1); with user_id as block and event_id as revision
+it is a change log. Order keys of ``lineitem`` are sparse integer sets."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.blocks import auto_format
+from .operators import history, intervals, sets
+from .operators.array import Array
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def signal(spark: SparkSession, d: str, shape) -> Array:
+    return Array.of(table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("val")), shape)
+
+
+def log(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.lit(1).cast("long").alias("file_id"), F.col("user_id").alias("blk"), F.col("event_id").alias("rev"), F.col("event_type").alias("value"))
+
+
+def item(rows: DataFrame) -> DataFrame:
+    return rows.select("out_pos", F.round("val", 6).alias("val"))
+
+
+_SLICE = "SELECT {out} AS out_pos, round(value, 6) AS val FROM events WHERE {where}"
+
+
+@query("slice_range", _SLICE.format(out="event_id - 103", where="event_id >= 103 AND event_id < 903"))
+def _(s, d):
+    return item(signal(s, d, 1000)[103:903].rows())
+
+
+@query("slice_scalar", _SLICE.format(out="0", where="event_id = 990"))
+def _(s, d):
+    return item(signal(s, d, 1000)[-10].rows())
+
+
+@query("slice_strided", _SLICE.format(out="(event_id - 103) // 7", where="event_id >= 103 AND event_id < 903 AND (event_id - 103) % 7 = 0"))
+def _(s, d):
+    return item(signal(s, d, 1000)[103:903:7].rows())
+
+
+@query("slice_reverse", _SLICE.format(out="(900 - event_id) // 3", where="event_id <= 900 AND event_id > 100 AND (900 - event_id) % 3 = 0"))
+def _(s, d):
+    return item(signal(s, d, 1000)[900:100:-3].rows())
+
+
+@query("slice_nd", "SELECT (event_id // 40 - 3) * 5 + (event_id % 40 - 2) // 8 AS out_pos, round(value, 6) AS val FROM events WHERE event_id < 1000 AND event_id // 40 BETWEEN 3 AND 19 AND event_id % 40 >= 2 AND (event_id % 40 - 2) % 8 = 0")
+def _(s, d):
+    return item(signal(s, d, (25, 40))[3:20, 2::8].rows())
+
+
+@query("slice_forder", "WITH x AS (SELECT event_id % 10 AS i, event_id // 10 % 20 AS j, event_id // 200 AS k, value FROM events WHERE event_id < 1000) SELECT ((i - 1) // 3) * 5 + (4 - k) AS out_pos, round(value, 6) AS val FROM x WHERE i >= 1 AND i < 9 AND (i - 1) % 3 = 0 AND j = 19")
+def _(s, d):
+    a = signal(s, d, (10, 20, 5))
+    return item(Array.of(a.elems, (10, 20, 5), "F")[1:9:3, -1, ::-1].rows())
+
+
+@query("slice_empty", "SELECT CAST(0 AS BIGINT) AS out_pos, round(value, 6) AS val FROM events WHERE false")
+def _(s, d):
+    return item(signal(s, d, 1000)[5:5].rows())
+
+
+@query("slice_embedding", "SELECT vec_id * 8 + (k - 1) // 8 AS out_pos, round(CAST(embedding[k] AS DOUBLE), 5) AS val FROM embeddings, (SELECT unnest(range(1, 65, 8)) AS k) WHERE vec_id < 50")
+def _(s, d):
+    e = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select((F.col("vec_id") * 64 + F.col("k")).alias("pos"), F.col("v").cast("double").alias("val"))
+    return Array.of(e, (500, 64))[:50, ::8].rows().select("out_pos", F.round("val", 5).alias("val"))
+
+
+@query("newaxis_ellipsis", "SELECT event_id % 10 AS out_pos, round(value, 6) AS val FROM events WHERE event_id >= 990 AND event_id < 1000")
+def _(s, d):
+    return item(signal(s, d, (10, 10, 10))[-1, None, ..., -1, :].rows())
+
+
+_RED = "round(sum(value), 4) AS sum, round(sum(value) / {n}, 6) AS mean"
+
+
+@query("reduce_slice", f"SELECT CAST(115 AS BIGINT) AS n, count(*) AS stored, {_RED.format(n=115)} FROM events WHERE event_id >= 103 AND event_id < 903 AND (event_id - 103) % 7 = 0")
+def _(s, d):
+    return signal(s, d, 1000)[103:903:7].reduce().select("n", "stored", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"))
+
+
+@query("reduce_holes", f"SELECT CAST(200000 AS BIGINT) AS n, count(*) AS stored, {_RED.format(n=200000.0)}, round(sum(value * value) / 200000.0 - (sum(value) / 200000.0) ** 2, 4) AS var, round(least(min(value), 0), 6) AS min, round(greatest(max(value), 0), 6) AS max FROM events")
+def _(s, d):
+    r = signal(s, d, 200_000).reduce()
+    return r.select("n", "stored", *(F.round(c, k).alias(c) for c, k in (("sum", 4), ("mean", 6), ("var", 4), ("min", 6), ("max", 6))))
+
+
+@query("resize_shrink_grow", "SELECT event_id AS out_pos, round(value, 6) AS val FROM events WHERE event_id < 700")
+def _(s, d):
+    return item(signal(s, d, 1000).resize(300).resize(700).rows())
+
+
+@query("append_tail", "SELECT event_id - 960 AS out_pos, round(value, 6) AS val FROM events WHERE event_id BETWEEN 960 AND 999 UNION ALL SELECT o_orderkey - lo + 40, round(o_totalprice, 6) FROM orders, (SELECT min(o_orderkey) AS lo FROM orders) WHERE o_orderkey < lo + 20")
+def _(s, d):
+    lo = table(s, d, "orders").agg(F.min("o_orderkey").alias("lo"))
+    new = table(s, d, "orders").crossJoin(F.broadcast(lo)).where("o_orderkey < lo + 20").select((F.col("o_orderkey") - F.col("lo")).alias("pos"), F.col("o_totalprice").alias("val"))
+    return item(signal(s, d, 1000).append(new, 20)[-60:].rows())
+
+
+@query("assign_slice", "SELECT event_id AS out_pos, CASE WHEN event_id >= 10 AND event_id < 90 AND event_id % 4 = 2 THEN 0.5 ELSE round(value, 6) END AS val FROM events WHERE event_id < 100")
+def _(s, d):
+    ones = s.range(20).select(F.col("id").alias("out_pos"), F.lit(0.5).alias("val"))
+    return item(signal(s, d, 1000)[10:90:4].assign(ones)[:100].rows())
+
+
+@query("hole_fill", "SELECT r AS out_pos, coalesce(round(value, 6), 0) AS val FROM (SELECT unnest(range(0, 400)) AS r) LEFT JOIN (SELECT event_id, value FROM events WHERE event_id < 1000 AND event_id % 3 = 0) ON r * 2 = event_id")
+def _(s, d):
+    a = signal(s, d, 1000)
+    return item(Array.of(a.elems.where("pos % 3 = 0"), 1000)[:800:2].dense())
+
+
+@query("struct_view", "SELECT a.event_id // 2 AS out_pos, round(a.value, 6) AS x, round(b.value, 6) AS y FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0 AND a.event_id < 1000")
+def _(s, d):
+    r = signal(s, d, (500, 2))[:].rows().groupBy(F.expr("out_pos div 2").alias("out_pos"))
+    return r.agg(F.round(F.max(F.when(F.col("out_pos") % 2 == 0, F.col("val"))), 6).alias("x"), F.round(F.max(F.when(F.col("out_pos") % 2 == 1, F.col("val"))), 6).alias("y"))
+
+
+@query("gen_signal", "SELECT CAST(r AS BIGINT) AS pos, round(15 * sin(0.2 * r), 6) AS val FROM (SELECT unnest(range(0, 1000)) AS r)")
+def _(s, d):
+    return s.range(1000).select(F.col("id").alias("pos"), F.round(15 * F.sin(0.2 * F.col("id")), 6).alias("val"))
+
+
+@query("cumsum_blocks", "SELECT event_id AS pos, round(sum(value) OVER (ORDER BY event_id), 3) AS val FROM events")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("val"), F.expr("event_id div 512").alias("blk"))
+    from pyspark.sql import Window
+
+    sums = e.groupBy("blk").agg(F.sum("val").alias("s"))  # one row a block
+    before = sums.select("blk", (F.sum("s").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
+    own = F.sum("val").over(Window.partitionBy("blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return e.join(before, "blk").select("pos", F.round(own + F.coalesce("before", F.lit(0.0)), 3).alias("val"))
+
+
+@query("file_size", "SELECT (max(event_id // 512) + 1) * 4096 AS size FROM events")
+def _(s, d):
+    return table(s, d, "events").agg(((F.max(F.expr("event_id div 512")) + 1) * 4096).alias("size"))
+
+
+@query("block_stats", "SELECT event_id // 512 AS blk, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def _(s, d):
+    return table(s, d, "events").groupBy(F.expr("event_id div 512").alias("blk")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+@query("asof_block_rev", "SELECT user_id AS blk, max(event_id) AS rev FROM events WHERE event_id <= 600 GROUP BY user_id")
+def _(s, d):
+    return history.rev_at(log(s, d), 600).select("blk", "rev")
+
+
+@query("slice_by_rev", "SELECT user_id AS blk, event_id AS rev FROM events WHERE event_id > 300 AND event_id <= 600 AND user_id IN (SELECT user_id FROM events WHERE event_id <= 100)")
+def _(s, d):
+    return history.between(log(s, d), 300, 600, log(s, d).where("rev <= 100")).select("blk", "rev")
+
+
+_SNAP = "(SELECT user_id AS blk, arg_max(event_type, event_id) AS v FROM events WHERE event_id <= {at} GROUP BY user_id)"
+
+
+@query("snapshot_at", f"SELECT blk, v AS value FROM {_SNAP.format(at=600)}")
+def _(s, d):
+    return history.snapshot(log(s, d), 600, ["blk"])
+
+
+@query("snapshot_diff", f"SELECT coalesce(a.blk, b.blk) AS blk, a.v AS old, b.v AS new FROM {_SNAP.format(at=300)} a FULL JOIN {_SNAP.format(at=600)} b ON a.blk = b.blk WHERE a.v IS DISTINCT FROM b.v")
+def _(s, d):
+    return history.diff(history.snapshot(log(s, d), 300, ["blk"]), history.snapshot(log(s, d), 600, ["blk"]), ["blk"])
+
+
+@query("diff_merge", "SELECT user_id AS blk, arg_min(o, event_id) AS old, arg_max(event_type, event_id) AS new FROM (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '') AS o FROM events) WHERE event_id > 300 AND event_id <= 600 GROUP BY user_id HAVING arg_min(o, event_id) IS DISTINCT FROM arg_max(event_type, event_id)")
+def _(s, d):
+    from pyspark.sql import Window
+
+    was = F.coalesce(F.lag("value").over(Window.partitionBy("blk").orderBy("rev")), F.lit(""))
+    deltas = log(s, d).withColumn("old", was).withColumnRenamed("value", "new").where("rev > 300 and rev <= 600")
+    return history.compose(deltas, ["blk"])
+
+
+@query("conflict_check", "SELECT DISTINCT user_id AS blk FROM events WHERE event_id > 900 AND user_id IN (SELECT user_id FROM events WHERE event_id < 50)")
+def _(s, d):
+    return history.conflicts(log(s, d), log(s, d).where("rev < 50").select("file_id", "blk").distinct(), 900).select("blk")
+
+
+_PINS = "SELECT c.blk, coalesce(max(CASE WHEN r.rev <= {at} THEN r.rev END), 0) AS rev FROM (SELECT DISTINCT user_id AS blk FROM events WHERE event_id > {at} AND event_id <= 900) c JOIN (SELECT user_id AS blk, event_id AS rev FROM events) r USING (blk) GROUP BY c.blk"
+
+
+@query("watch_pins", _PINS.format(at=600))
+def _(s, d):
+    return history.pins(log(s, d), log(s, d), 600, 900).select("blk", "rev")
+
+
+@query("watch_pin_update", f"SELECT coalesce(a.blk, b.blk) AS blk, b.rev AS rev FROM ({_PINS.format(at=600)}) a FULL JOIN ({_PINS.format(at=700)}) b ON a.blk = b.blk WHERE a.rev IS DISTINCT FROM b.rev")
+def _(s, d):
+    at = lambda x: history.pins(log(s, d), log(s, d), x, 900)
+    return history.pin_update(at(600), at(700)).select("blk", "rev")
+
+
+def keys(s, d, flag):
+    return table(s, d, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("k")).distinct()
+
+
+for _name, _op, _f in (("union", "UNION", sets.union), ("intersection", "INTERSECT", sets.intersection), ("difference", "EXCEPT", sets.difference)):
+    query(f"set_{_name}", f"SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A' {_op} SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")(lambda s, d, f=_f: f(keys(s, d, "A"), keys(s, d, "R")))
+
+
+@query("set_symmetric_difference", "(SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def _(s, d):
+    return sets.symmetric_difference(keys(s, d, "A"), keys(s, d, "R"))
+
+
+def _islands(keys_sql: str) -> str:
+    return f"SELECT min(k) AS lo, max(k) AS hi FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM ({keys_sql})) GROUP BY g"
+
+
+_A, _R = ("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = '" + x + "'" for x in "AR")
+
+
+@query("ranges_coalesce", _islands(_A))
+def _(s, d):
+    return intervals.of_keys(keys(s, d, "A"), "k")
+
+
+for _name, _op, _f in (("union", "UNION", intervals.union), ("intersection", "INTERSECT", intervals.intersection), ("difference", "EXCEPT", intervals.difference)):
+    query(f"ranges_{_name}", _islands(f"{_A} {_op} {_R}"))(lambda s, d, f=_f: f(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k"), 1000))
+
+
+@query("ranges_overlap_join", f"SELECT a.lo, a.hi, b.lo AS lo2, b.hi AS hi2 FROM ({_islands(_A)}) a JOIN ({_islands(_R)}) b ON a.lo <= b.hi AND b.lo <= a.hi")
+def _(s, d):
+    return intervals.overlaps(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k"))
+
+
+@query("range_set", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'a'), (3, 4, 'x'), (5, 12, 'a')) t(lo, hi, value)")
+def _(s, d):
+    m = s.createDataFrame([(1, 6, "a"), (7, 12, "a")], "lo long, hi long, value string")
+    return intervals.set_range(m, 3, 4, "x")
+
+
+@query("auto_format", "SELECT user_id AS blk, CASE WHEN (user_id = 149 AND n > 20) OR (user_id = 150 AND n = 0) THEN CASE WHEN n < 35 AND n <> 70 THEN 'ZBlk1' ELSE 'ZBlk0' END WHEN n < 35 THEN 'ZBlk1' ELSE 'ZBlk0' END AS fmt FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
+def _(s, d):
+    e = table(s, d, "events").groupBy(F.col("user_id").alias("blk")).agg(F.count("*").alias("n"))
+    return e.select("blk", auto_format(F.col("blk"), F.lit(149), F.col("n"), F.col("n"), F.col("n") > 20, F.col("n"), 70).alias("fmt"))
