@@ -17,9 +17,11 @@ their own. An empty table gives an empty result. Very long texts give many piece
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +33,60 @@ from .common import staged, table
 SIZE = 2048
 END_ID = 0
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_000_000
+
+
+#: Letters and at most one mark behind them: one letter run, the same after NFC, whose lower case is
+#: the same everywhere. Other words are encoded one by one.
+_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
 
 
 class WordTokens(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and
-    never joins across it, so a text's ids are those of its blank-separated words in order."""
+    never joins across it, so a text's ids are those of its blank-separated words in order. Words
+    that are new to a batch are encoded together: a run of letters ends with a word-end id, which
+    shows where the joined ids are to be cut."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.marks = {mark: self.encoded(mark) for mark in ".,"} | {"": b""}
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        ids = self[word] = self.encoded(word)
         return ids
 
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").split(" "))) + np.array([END_ID], "<u4").tobytes()
+    def learn(self, words: Iterable[str]) -> None:
+        new = {w for w in words if w not in self}
+        if len(self) + len(new) > CACHE:
+            self.clear()
+        simple = [w for w in new if _SIMPLE(w)]
+        cores = list({w.rstrip(".,").lower() for w in simple})
+        for lo in range(0, len(cores), 20_000):
+            part = cores[lo : lo + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                continue  # a vocabulary without word ends: encoded one by one when asked for
+            raw, at = ids.tobytes(), 0
+            for core, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self[core] = raw[at:end]
+                at = end
+        for w in simple:
+            core = w.rstrip(".,").lower()
+            if w != core:
+                self[w] = self[core] + self.marks[w[len(core) :]]
+
+    def ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, words)) + np.array([END_ID], "<u4").tobytes()
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -71,11 +105,13 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
+            for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 512)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = tokens.ids(text)
+                split = [(text or "").split(" ") for text in part.column(1).to_pylist()]
+                tokens.learn(chain.from_iterable(split))
+                for i, words in enumerate(split):
+                    ids = tokens.ids(words)
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[at : at + 4 * size]
                         row.append(i), piece.append(k), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
