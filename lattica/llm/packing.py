@@ -36,9 +36,15 @@ END_ID = 0
 CACHE = 1_000_000
 
 
-#: Letters and at most one mark behind them: one letter run, the same after NFC, whose lower case is
-#: the same everywhere. Other words are encoded one by one.
-_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[.,]?").fullmatch
+#: Letters (the same after NFC, and of one lower case everywhere) and ASCII marks behind them, but no
+#: apostrophe, after which letters may belong to the mark. Other words are encoded one by one.
+_MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+_SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+[" + re.escape(_MARKS) + "]*").fullmatch
+
+
+def words_of(text: str | None) -> list[str]:
+    """Split where every tokenizer sees white space; other white space stays inside words."""
+    return (text or "").replace("\n", " ").split(" ")
 
 
 class WordTokens(dict):
@@ -55,7 +61,7 @@ class WordTokens(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.marks = {mark: self.encoded(mark) for mark in ".,"} | {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -68,8 +74,9 @@ class WordTokens(dict):
         new = {w for w in words if w not in self}
         if len(self) + len(new) > CACHE:
             self.clear()
+            self.marks = {"": b""}
         simple = [w for w in new if _SIMPLE(w)]
-        cores = list({w.rstrip(".,").lower() for w in simple})
+        cores = list({w.rstrip(_MARKS).lower() for w in simple})
         for lo in range(0, len(cores), 20_000):
             part = cores[lo : lo + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -81,9 +88,11 @@ class WordTokens(dict):
                 self[core] = raw[at:end]
                 at = end
         for w in simple:
-            core = w.rstrip(".,").lower()
-            if w != core:
-                self[w] = self[core] + self.marks[w[len(core) :]]
+            core = w.rstrip(_MARKS)
+            mark = w[len(core) :]
+            if mark not in self.marks:
+                self.marks[mark] = self.encoded(mark)
+            self[w] = self[core.lower()] + self.marks[mark]
 
     def ids(self, words: list[str]) -> bytes:
         return b"".join(map(self.__getitem__, words)) + np.array([END_ID], "<u4").tobytes()
@@ -108,7 +117,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "do
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 512)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
-                split = [(text or "").split(" ") for text in part.column(1).to_pylist()]
+                split = [words_of(text) for text in part.column(1).to_pylist()]
                 tokens.learn(chain.from_iterable(split))
                 for i, words in enumerate(split):
                     ids = tokens.ids(words)
