@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "do
         tokens = tokens_of(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 512)
+                part = batch.slice(lo, 2048)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 split = [words_of(text) for text in part.column(1).to_pylist()]
                 tokens.learn(chain.from_iterable(split))
@@ -137,24 +137,26 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "do
 
 
 def patterns_of(present: np.ndarray, size: int) -> np.ndarray:
-    """All a <= b <= c over lengths that occur with a + b + c = size; 0 stands for no document."""
+    """All a <= b <= c over lengths that occur, c the longest that still fits beside a and b; 0
+    stands for no document."""
     have = np.zeros(size + 1, bool)
     have[present] = True
     have[0] = True
+    longest = np.maximum.accumulate(np.where(have, np.arange(size + 1), 0))
     a, b = np.meshgrid(np.flatnonzero(have[: size // 3 + 1]), np.flatnonzero(have), indexing="ij")
-    c = size - a - b
-    ok = (b >= a) & (c >= b)
-    ok &= have[np.where(ok, c, 0)]
+    room = size - a - b
+    c = longest[np.maximum(room, 0)]
+    ok = (b >= a) & (room >= 0) & (c >= b) & (c > 0)
     return np.stack([a[ok], b[ok], c[ok]], 1)
 
 
 def fit(hist: np.ndarray, size: int, rounds: int = 60, sweeps: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative least squares of the histogram by pattern columns: (patterns, counts).
-    Misses of short lengths weigh less, since short documents fill gaps easily."""
+    Misses weigh as the square of the length: what is left over should be short and fill gaps."""
     pats = patterns_of(np.flatnonzero(hist), size)
     if not len(pats):
         return pats, np.zeros(0)
-    weight = np.minimum(1.0, 0.1 + np.arange(size + 1) / (size / 8))
+    weight = np.maximum(0.05, (np.arange(size + 1) / size) ** 2)
     weight[0] = 0
     r = hist.astype(float) * weight
     # a column has weight * multiplicity at each of its lengths
