@@ -71,24 +71,21 @@ class WordTokens(dict):
         return ids
 
     def learn(self, words: Iterable[str]) -> None:
-        new = {w for w in words if w not in self}
+        new = set(words).difference(self)
         if len(self) + len(new) > CACHE:
             self.clear()
             self.marks = {"": b""}
-        simple = [w for w in new if _SIMPLE(w)]
-        cores = list({w.rstrip(_MARKS).lower() for w in simple})
+        parts = [(w, w.rstrip(_MARKS)) for w in new if _SIMPLE(w)]
+        cores = list({core.lower() for _, core in parts}.difference(self))
         for lo in range(0, len(cores), 20_000):
             part = cores[lo : lo + 20_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) != len(part):
                 continue  # a vocabulary without word ends: encoded one by one when asked for
-            raw, at = ids.tobytes(), 0
-            for core, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self[core] = raw[at:end]
-                at = end
-        for w in simple:
-            core = w.rstrip(_MARKS)
+            raw, ends = ids.tobytes(), cuts.tolist()
+            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        for w, core in parts:
             mark = w[len(core) :]
             if mark not in self.marks:
                 self.marks[mark] = self.encoded(mark)
