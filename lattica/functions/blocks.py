@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 4096
 
@@ -22,12 +23,12 @@ def memdelta(a: bytes, b: bytes) -> int:
     return abs(len(a) - len(b)) + int((np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8)).sum())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def memdelta_of(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([memdelta(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def stripped(data: pd.Series) -> pd.Series:
     """Without trailing zero bytes."""
     return data.map(lambda x: x.rstrip(b"\0") if x is not None else None)
