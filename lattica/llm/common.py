@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,32 @@ BROADCAST_ROWS = 1_000_000
 _staged: list[tuple[object, str]] = []
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]):
+    """A model that a Python worker keeps from task to task. Only the newest stays: workers are used
+    again by other operators, and the models of all of them would add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def lean(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` for work that keeps no model; its workers first drop what others left there."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
+        yield from run(batches)
+
+    return df.mapInArrow(own, schema)
+
+
+def drop_kept() -> None:
+    _kept.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 SHINGLE = 5
 WINDOW = 8
@@ -113,7 +113,7 @@ def count_shingles(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["k", "n"])
 
     out = np.zeros(len(keys), np.int64)
-    for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most a row a key
+    for r in docs.select("text").transform(lean, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most a row a key
         out[r["k"]] = r["n"]
     return out
 
@@ -195,7 +195,7 @@ def found(docs: DataFrame, benchmark: DataFrame, limit: int = SLICE) -> DataFram
                         bits.append(np.packbits(hit).tobytes() if hit.any() else None), items.append(sorted(ids))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "_bits", "_items"])
 
-        out = out.mapInArrow(run, f"doc_id {id_type}, text string, _bits binary, _items array<string>")
+        out = out.transform(lean, run, f"doc_id {id_type}, text string, _bits binary, _items array<string>")
     return out
 
 
@@ -213,7 +213,7 @@ def report(docs: DataFrame, benchmark: DataFrame, limit: int = SLICE) -> DataFra
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return found(docs, benchmark, limit).mapInArrow(run, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found(docs, benchmark, limit).transform(lean, run, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = SLICE) -> DataFrame:
@@ -240,7 +240,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = SLICE) -> Dat
                     items.append(sorted(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.transform(lean, run, schema)
     return out.where(F.size(carried) < ITEMS).drop(carried)
 
 

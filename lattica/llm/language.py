@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id_col, table
+from .common import crc_of_id_col, kept, table
 
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 320
@@ -169,16 +169,8 @@ def automaton(codes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def parser_of(samples: dict[str, str]) -> Parser:
-    """Kept by a worker from task to task; only the newest."""
-    key = hash(tuple(samples.items()))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(samples)
-    return _parsers[key]
+    return kept(("automata", *samples.items()), lambda: Parser(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, staged, table
+from .common import lean, small, staged, table
 from .components import components
 
 SHINGLE = 5
@@ -138,7 +138,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.list_(pa.int64()))], names)
 
     names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "bits", "sig"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, bits binary, sig array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(lean, run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, bits binary, sig array<long>")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -155,7 +155,7 @@ def rarity(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["n", "cells"])
 
     parts = 1 << (CELL_BITS - CHUNK_BITS)
-    summed = counts.select("n", F.col("bits").alias("cells")).repartition(min(parts, 64), "n").mapInArrow(add, "n long, cells binary")
+    summed = counts.select("n", F.col("bits").alias("cells")).repartition(min(parts, 64), "n").transform(lean, add, "n long, cells binary")
     out = np.zeros(1 << CELL_BITS, np.uint32)
     for r in summed.toLocalIterator():  # one row a chunk
         out[r["n"] << CHUNK_BITS : (r["n"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
@@ -181,7 +181,7 @@ def commonness(docs: DataFrame, levels_shared) -> DataFrame:
                 mean.append(int(1000 * levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].mean()) if len(s) else 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mean, pa.int64())], ["cid", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "cid long, common long")
+    return docs.select("doc_id", "text").transform(lean, run, "cid long, common long")
 
 
 def postings(docs: DataFrame, levels_shared) -> DataFrame:
@@ -203,7 +203,7 @@ def postings(docs: DataFrame, levels_shared) -> DataFrame:
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), part.column(0).take(at), part.column(1).take(at), pa.array(np.array(sizes, np.int32)[row]), pa.array(pos.astype(np.int32))], ["token", "doc_id", "comp", "n", "pos"])
 
-    return docs.select("doc_id", "comp", "text").mapInArrow(run, "token long, doc_id long, comp long, n int, pos int")
+    return docs.select("doc_id", "comp", "text").transform(lean, run, "token long, doc_id long, comp long, n int, pos int")
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -230,7 +230,7 @@ def sets_of(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shingles(t).tobytes() for t in part.column(len(keys)).to_pylist()], pa.binary())], [*keys, out])
 
-    return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", {out} binary")
+    return rows.select(*keys, "text").transform(lean, run, ", ".join(f"{k} long" for k in keys) + f", {out} binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True) for x, y in [(x.as_py(), y.as_py())]]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return left.join(right, F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return left.join(right, F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b").transform(lean, run, "a long, b long")
 
 
 def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = [may_link(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(left.join(right, "a").select("a", "b", "na", "ba", "nb", "bb").mapInArrow(run, "a long, b long"), "screened")
+    return staged(left.join(right, "a").select("a", "b", "na", "ba", "nb", "bb").transform(lean, run, "a long, b long"), "screened")
 
 
 def candidates(marked: DataFrame, classes: DataFrame) -> DataFrame:

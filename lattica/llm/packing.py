@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import kept, staged, table
 
 SIZE = 2048
 END_ID = 0
@@ -95,13 +95,8 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, words)) + np.array([END_ID], "<u4").tobytes()
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def tokens_of(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    return kept(("words", path), lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

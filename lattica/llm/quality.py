@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id_col, labelled_sample, table
+from .common import crc_of_id_col, kept, labelled_sample, table
 
 PER_CLASS = 3000
 SAMPLE_CHARS = 3000
@@ -51,18 +51,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-_compressors: dict[bytes, zstandard.ZstdCompressor] = {}
-
-
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    if dictionary not in _compressors:
-        if len(_compressors) > 8:
-            _compressors.clear()
-        kind = zstandard.DICT_TYPE_AUTO if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
-        data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
-        data.precompute_compress(level=LEVEL)
-        _compressors[dictionary] = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
-    return _compressors[dictionary]
+    kind = zstandard.DICT_TYPE_AUTO if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+    data = zstandard.ZstdCompressionDict(dictionary, dict_type=kind)
+    data.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
 
 
 def measures(good: bytes, bad: bytes, texts: list[str | None]) -> np.ndarray:
@@ -70,7 +63,7 @@ def measures(good: bytes, bad: bytes, texts: list[str | None]) -> np.ndarray:
     out = np.zeros((len(texts), MEASURES))
     if not good or not bad:
         return out
-    cg, cb = compressor(good).compress, compressor(bad).compress
+    cg, cb = (c.compress for c in kept(("dictionaries", good, bad), lambda: (compressor(good), compressor(bad))))
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
         with_good = with_bad = 0
