@@ -30,6 +30,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def size(spark: SparkSession, d: str, name: str = "events") -> int:
+    return table(spark, d, name).count()  # from the files' footers
+
+
+#: The same in SQL.
+_N = "(SELECT count(*) FROM events)"
+
+
 def signal(spark: SparkSession, d: str, shape) -> Array:
     return Array.of(table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("val")), shape)
 
@@ -45,35 +53,36 @@ def item(rows: DataFrame) -> DataFrame:
 _SLICE = "SELECT {out} AS out_pos, round(value, 6) AS val FROM events WHERE {where}"
 
 
-@query("slice_range", _SLICE.format(out="event_id - 103", where="event_id >= 103 AND event_id < 903"))
+@query("slice_range", _SLICE.format(out="event_id - 103", where="event_id >= 103 AND event_id < " + _N + " - 97"))
 def _(s, d):
-    return item(signal(s, d, 1000)[103:903].rows())
+    return item(signal(s, d, size(s, d))[103:-97].rows())
 
 
-@query("slice_scalar", _SLICE.format(out="0", where="event_id = 990"))
+@query("slice_scalar", _SLICE.format(out="0", where="event_id = " + _N + " - 10"))
 def _(s, d):
-    return item(signal(s, d, 1000)[-10].rows())
+    return item(signal(s, d, size(s, d))[-10].rows())
 
 
-@query("slice_strided", _SLICE.format(out="(event_id - 103) // 7", where="event_id >= 103 AND event_id < 903 AND (event_id - 103) % 7 = 0"))
+@query("slice_strided", _SLICE.format(out="(event_id - 103) // 7", where="event_id >= 103 AND event_id < " + _N + " - 97 AND (event_id - 103) % 7 = 0"))
 def _(s, d):
-    return item(signal(s, d, 1000)[103:903:7].rows())
+    return item(signal(s, d, size(s, d))[103:-97:7].rows())
 
 
-@query("slice_reverse", _SLICE.format(out="(900 - event_id) // 3", where="event_id <= 900 AND event_id > 100 AND (900 - event_id) % 3 = 0"))
+@query("slice_reverse", _SLICE.format(out=f"({_N} - 100 - event_id) // 3", where=f"event_id <= {_N} - 100 AND event_id > 100 AND ({_N} - 100 - event_id) % 3 = 0"))
 def _(s, d):
-    return item(signal(s, d, 1000)[900:100:-3].rows())
+    return item(signal(s, d, size(s, d))[-100:100:-3].rows())
 
 
-@query("slice_nd", "SELECT (event_id // 40 - 3) * 5 + (event_id % 40 - 2) // 8 AS out_pos, round(value, 6) AS val FROM events WHERE event_id < 1000 AND event_id // 40 BETWEEN 3 AND 19 AND event_id % 40 >= 2 AND (event_id % 40 - 2) % 8 = 0")
+@query("slice_nd", "SELECT (event_id // 40 - 3) * 5 + (event_id % 40 - 2) // 8 AS out_pos, round(value, 6) AS val FROM events WHERE event_id < " + _N + " // 40 * 40 AND event_id // 40 >= 3 AND event_id % 40 >= 2 AND (event_id % 40 - 2) % 8 = 0")
 def _(s, d):
-    return item(signal(s, d, (25, 40))[3:20, 2::8].rows())
+    return item(signal(s, d, (size(s, d) // 40, 40))[3:, 2::8].rows())
 
 
-@query("slice_forder", "WITH x AS (SELECT event_id % 10 AS i, event_id // 10 % 20 AS j, event_id // 200 AS k, value FROM events WHERE event_id < 1000) SELECT ((i - 1) // 3) * 5 + (4 - k) AS out_pos, round(value, 6) AS val FROM x WHERE i >= 1 AND i < 9 AND (i - 1) % 3 = 0 AND j = 19")
+@query("slice_forder", "WITH x AS (SELECT event_id % 10 AS i, event_id // 10 % 20 AS j, event_id // 200 AS k, " + _N + " // 200 AS m, value FROM events WHERE event_id < " + _N + " // 200 * 200) SELECT ((i - 1) // 3) * m + (m - 1 - k) AS out_pos, round(value, 6) AS val FROM x WHERE i >= 1 AND i < 9 AND (i - 1) % 3 = 0 AND j = 19")
 def _(s, d):
-    a = signal(s, d, (10, 20, 5))
-    return item(Array.of(a.elems, (10, 20, 5), "F")[1:9:3, -1, ::-1].rows())
+    shape = (10, 20, size(s, d) // 200)
+    a = signal(s, d, shape)
+    return item(Array.of(a.elems, shape, "F")[1:9:3, -1, ::-1].rows())
 
 
 @query("slice_empty", "SELECT CAST(0 AS BIGINT) AS out_pos, round(value, 6) AS val FROM events WHERE false")
@@ -81,23 +90,23 @@ def _(s, d):
     return item(signal(s, d, 1000)[5:5].rows())
 
 
-@query("slice_embedding", "SELECT vec_id * 8 + (k - 1) // 8 AS out_pos, round(CAST(embedding[k] AS DOUBLE), 5) AS val FROM embeddings, (SELECT unnest(range(1, 65, 8)) AS k) WHERE vec_id < 50")
+@query("slice_embedding", "SELECT vec_id * 8 + (k - 1) // 8 AS out_pos, round(CAST(embedding[k] AS DOUBLE), 5) AS val FROM embeddings, (SELECT unnest(range(1, 65, 8)) AS k)")
 def _(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "v")).select((F.col("vec_id") * 64 + F.col("k")).alias("pos"), F.col("v").cast("double").alias("val"))
-    return Array.of(e, (500, 64))[:50, ::8].rows().select("out_pos", F.round("val", 5).alias("val"))
+    return Array.of(e, (size(s, d, "embeddings"), 64))[:, ::8].rows().select("out_pos", F.round("val", 5).alias("val"))
 
 
-@query("newaxis_ellipsis", "SELECT event_id % 10 AS out_pos, round(value, 6) AS val FROM events WHERE event_id >= 990 AND event_id < 1000")
+@query("newaxis_ellipsis", "SELECT event_id % 10 AS out_pos, round(value, 6) AS val FROM events WHERE event_id >= " + _N + " // 100 * 100 - 10 AND event_id < " + _N + " // 100 * 100")
 def _(s, d):
-    return item(signal(s, d, (10, 10, 10))[-1, None, ..., -1, :].rows())
+    return item(signal(s, d, (size(s, d) // 100, 10, 10))[-1, None, ..., -1, :].rows())
 
 
 _RED = "round(sum(value), 4) AS sum, round(sum(value) / {n}, 6) AS mean"
 
 
-@query("reduce_slice", f"SELECT CAST(115 AS BIGINT) AS n, count(*) AS stored, {_RED.format(n=115)} FROM events WHERE event_id >= 103 AND event_id < 903 AND (event_id - 103) % 7 = 0")
+@query("reduce_slice", f"SELECT count(*) AS n, count(*) AS stored, {_RED.format(n='count(*)')} FROM events WHERE event_id >= 103 AND event_id < {_N} - 97 AND (event_id - 103) % 7 = 0")
 def _(s, d):
-    return signal(s, d, 1000)[103:903:7].reduce().select("n", "stored", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"))
+    return signal(s, d, size(s, d))[103:-97:7].reduce().select("n", "stored", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"))
 
 
 @query("reduce_holes", f"SELECT CAST(200000 AS BIGINT) AS n, count(*) AS stored, {_RED.format(n=200000.0)}, round(sum(value * value) / 200000.0 - (sum(value) / 200000.0) ** 2, 4) AS var, round(least(min(value), 0), 6) AS min, round(greatest(max(value), 0), 6) AS max FROM events")
@@ -106,33 +115,36 @@ def _(s, d):
     return r.select("n", "stored", *(F.round(c, k).alias(c) for c, k in (("sum", 4), ("mean", 6), ("var", 4), ("min", 6), ("max", 6))))
 
 
-@query("resize_shrink_grow", "SELECT event_id AS out_pos, round(value, 6) AS val FROM events WHERE event_id < 700")
+@query("resize_shrink_grow", "SELECT event_id AS out_pos, round(value, 6) AS val FROM events WHERE event_id < " + _N + " - 300")
 def _(s, d):
-    return item(signal(s, d, 1000).resize(300).resize(700).rows())
+    n = size(s, d)
+    return item(signal(s, d, n).resize(n // 3).resize(n - 300).rows())
 
 
-@query("append_tail", "SELECT event_id - 960 AS out_pos, round(value, 6) AS val FROM events WHERE event_id BETWEEN 960 AND 999 UNION ALL SELECT o_orderkey - lo + 40, round(o_totalprice, 6) FROM orders, (SELECT min(o_orderkey) AS lo FROM orders) WHERE o_orderkey < lo + 20")
+@query("append_tail", "SELECT event_id - " + _N + " + 40 AS out_pos, round(value, 6) AS val FROM events WHERE event_id >= " + _N + " - 40 UNION ALL SELECT o_orderkey - lo + 40, round(o_totalprice, 6) FROM orders, (SELECT min(o_orderkey) AS lo FROM orders) WHERE o_orderkey < lo + 20")
 def _(s, d):
     lo = table(s, d, "orders").agg(F.min("o_orderkey").alias("lo"))
     new = table(s, d, "orders").crossJoin(F.broadcast(lo)).where("o_orderkey < lo + 20").select((F.col("o_orderkey") - F.col("lo")).alias("pos"), F.col("o_totalprice").alias("val"))
-    return item(signal(s, d, 1000).append(new, 20)[-60:].rows())
+    return item(signal(s, d, size(s, d)).append(new, 20)[-60:].rows())
 
 
-@query("assign_slice", "SELECT event_id AS out_pos, CASE WHEN event_id >= 10 AND event_id < 90 AND event_id % 4 = 2 THEN 0.5 ELSE round(value, 6) END AS val FROM events WHERE event_id < 100")
+@query("assign_slice", "SELECT event_id AS out_pos, CASE WHEN event_id >= 10 AND event_id < " + _N + " - 10 AND event_id % 4 = 2 THEN 0.5 ELSE round(value, 6) END AS val FROM events")
 def _(s, d):
-    ones = s.range(20).select(F.col("id").alias("out_pos"), F.lit(0.5).alias("val"))
-    return item(signal(s, d, 1000)[10:90:4].assign(ones)[:100].rows())
+    n = size(s, d)
+    ones = s.range(len(range(10, n - 10, 4))).select(F.col("id").alias("out_pos"), F.lit(0.5).alias("val"))
+    return item(signal(s, d, n)[10:-10:4].assign(ones)[:].rows())
 
 
-@query("hole_fill", "SELECT r AS out_pos, coalesce(round(value, 6), 0) AS val FROM (SELECT unnest(range(0, 400)) AS r) LEFT JOIN (SELECT event_id, value FROM events WHERE event_id < 1000 AND event_id % 3 = 0) ON r * 2 = event_id")
+@query("hole_fill", "SELECT r AS out_pos, coalesce(round(value, 6), 0) AS val FROM (SELECT unnest(range(0, (" + _N + " + 1) // 2)) AS r) LEFT JOIN (SELECT event_id, value FROM events WHERE event_id % 3 = 0) ON r * 2 = event_id")
 def _(s, d):
-    a = signal(s, d, 1000)
-    return item(Array.of(a.elems.where("pos % 3 = 0"), 1000)[:800:2].dense())
+    n = size(s, d)
+    a = signal(s, d, n)
+    return item(Array.of(a.elems.where("pos % 3 = 0"), n)[::2].dense())
 
 
-@query("struct_view", "SELECT a.event_id // 2 AS out_pos, round(a.value, 6) AS x, round(b.value, 6) AS y FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0 AND a.event_id < 1000")
+@query("struct_view", "SELECT a.event_id // 2 AS out_pos, round(a.value, 6) AS x, round(b.value, 6) AS y FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0")
 def _(s, d):
-    r = signal(s, d, (500, 2))[:].rows().groupBy(F.expr("out_pos div 2").alias("out_pos"))
+    r = signal(s, d, (size(s, d) // 2, 2))[:].rows().groupBy(F.expr("out_pos div 2").alias("out_pos"))
     return r.agg(F.round(F.max(F.when(F.col("out_pos") % 2 == 0, F.col("val"))), 6).alias("x"), F.round(F.max(F.when(F.col("out_pos") % 2 == 1, F.col("val"))), 6).alias("y"))
 
 
