@@ -1,12 +1,16 @@
 """OS files of fixed-size blocks as a Spark data source: ``format("blockfile")`` with ``path`` and
-``blksize``; rows (blk, data), one partition a block. Paths must be readable on every executor."""
+``blksize``; rows (blk, data), one partition a block. Paths must be readable and, for writing, be
+writable on every executor.
+
+Writing (mode append) puts each block in its place and leaves the others; shorter data is filled up
+with zeros. A block written again by a retried task gets the same bytes."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
 class Block(InputPartition):
@@ -30,6 +34,23 @@ class BlockReader(DataSourceReader):
             yield partition.blk, f.read(self.blksize)
 
 
+class BlockWriter(DataSourceWriter):
+    def __init__(self, path: str, blksize: int):
+        self.path, self.blksize = path, blksize
+
+    def write(self, iterator) -> WriterCommitMessage:
+        fd = os.open(self.path, os.O_WRONLY | os.O_CREAT)
+        try:
+            for row in iterator:
+                if len(row["data"]) > self.blksize:
+                    raise ValueError(f"block {row['blk']} has {len(row['data'])} bytes, more than {self.blksize}")
+                os.pwrite(fd, bytes(row["data"]).ljust(self.blksize, b"\0"), row["blk"] * self.blksize)
+            os.fsync(fd)
+        finally:
+            os.close(fd)
+        return WriterCommitMessage()
+
+
 class BlockFile(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -40,3 +61,8 @@ class BlockFile(DataSource):
 
     def reader(self, schema) -> BlockReader:
         return BlockReader(self.options["path"], int(self.options["blksize"]))
+
+    def writer(self, schema, overwrite: bool) -> BlockWriter:
+        if overwrite:
+            raise ValueError("blocks are written in place: use mode append")
+        return BlockWriter(self.options["path"], int(self.options["blksize"]))
