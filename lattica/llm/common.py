@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -25,23 +26,35 @@ def kept(key: object, make: Callable[[], object]):
     """A model that a Python worker keeps from task to task. Only the newest stays: workers are used
     again by other operators, and the models of all of them would add up."""
     if key not in _kept:
-        _kept.clear()
+        drop_kept()
         _kept[key] = make()
     return _kept[key]
 
 
 def lean(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` for work that keeps no model; its workers first drop what others left there."""
+    """``mapInArrow`` for work that keeps no model; its workers first drop what others left there,
+    and hand back at the end of a task what it has freed."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept()
         yield from run(batches)
+        release()
 
     return df.mapInArrow(own, schema)
 
 
 def drop_kept() -> None:
-    _kept.clear()
+    if _kept:
+        _kept.clear()
+        release()
+
+
+def release() -> None:
+    """Return freed memory to the system: allocators keep it for a worker's next task otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
