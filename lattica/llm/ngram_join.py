@@ -127,7 +127,7 @@ def survey(docs: DataFrame) -> DataFrame:
                     sig.append(signature(bits[-1]) if len(s) else [])
                     waiting.append(s)
                     size += len(s)
-                    if size > 2_000_000:
+                    if size > 500_000:
                         count()
                 k = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names)
@@ -256,8 +256,10 @@ def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [may_link(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                ok = [may_link(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return staged(left.join(right, "a").select("a", "b", "na", "ba", "nb", "bb").transform(lean, run, "a long, b long"), "screened")
 
