@@ -13,6 +13,10 @@ from lattica.llm.common import staged, table
 from lattica.session import ship
 
 
+#: Words whose ids a worker keeps while packing: its executors still hold what earlier stages left.
+PACKING_WORDS = 250_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the compression classifier rejects."""
     ship(spark)
@@ -40,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in sequences of 2048 ids."""
     ship(spark)
-    return packing.pack(docs, packing.vocabulary_path())
+    return packing.pack(docs, packing.vocabulary_path(), words=PACKING_WORDS)
 
 
 STAGES = [

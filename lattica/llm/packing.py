@@ -53,10 +53,11 @@ class WordTokens(dict):
     that are new to a batch are encoded together: a run of letters ends with a word-end id, which
     shows where the joined ids are to be cut."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -72,7 +73,7 @@ class WordTokens(dict):
 
     def learn(self, words: Iterable[str]) -> None:
         new = set(words).difference(self)
-        if len(self) + len(new) > CACHE:
+        if len(self) + len(new) > self.most:
             self.clear()
             self.marks = {"": b""}
         parts = [(w, w.rstrip(_MARKS)) for w in new if _SIMPLE(w)]
@@ -95,24 +96,25 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, words)) + np.array([END_ID], "<u4").tobytes()
 
 
-def tokens_of(path: str) -> WordTokens:
-    return kept(("words", path), lambda: WordTokens(path))
+def tokens_of(path: str, most: int = CACHE) -> WordTokens:
+    return kept(("words", path, most), lambda: WordTokens(path, most))
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of each text's pieces."""
+def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, words: int = CACHE) -> DataFrame:
+    """(id, piece, start, length, ids_crc32[, ids]) of each text's pieces. A worker keeps the ids of
+    ``words`` words: fewer take less memory and more time."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = tokens_of(vocabulary)
+        tokens = tokens_of(vocabulary, words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
                 split = [words_of(text) for text in part.column(1).to_pylist()]
                 tokens.learn(chain.from_iterable(split))
-                for i, words in enumerate(split):
-                    ids = tokens.ids(words)
+                for i, split_words in enumerate(split):
+                    ids = tokens.ids(split_words)
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[at : at + 4 * size]
                         row.append(i), piece.append(k), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
@@ -304,9 +306,9 @@ def place(rows: DataFrame, size: int = SIZE, per_group: int = 20_000) -> DataFra
     return joined.withColumn("_run", run).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_run.sequence") + F.col("rank") - F.col("_run.first")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = SIZE, words: int = CACHE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece."""
-    return place(staged(pieces(docs, vocabulary, size), "pieces"), size)
+    return place(staged(pieces(docs, vocabulary, size, words=words), "pieces"), size)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
