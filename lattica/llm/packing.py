@@ -3,10 +3,12 @@
 1. Every text is tokenised once, in Arrow batches; documents longer than a sequence are cut into
    full pieces and a rest. Only (doc_id, piece, start, length, crc32) go on.
 2. The histogram of piece lengths has at most ``size`` rows and goes to the driver.
-3. There, patterns of one to three lengths that fill a sequence exactly are fitted to the histogram
-   by non-negative least squares (coordinate descent: price all patterns, take the steepest ones,
-   then sweep over those taken), rounded down, and what is left is packed best-fit decreasing, in
-   runs of equal lengths, so its cost does not depend on the number of documents.
+3. There, patterns of one to three lengths are fitted to the histogram by non-negative least squares
+   (coordinate descent: price all patterns, take the steepest ones, then sweep over those taken) and
+   rounded, and what is left is packed best-fit decreasing into what the patterns leave free and into
+   new sequences, in runs of equal lengths, so its cost does not depend on the number of documents.
+   Three documents don't fill a sequence where lengths are short, so a pattern leaves ``GAP`` ids free
+   at most, and best-fit decreasing alone is the plan where it needs no more sequences.
 4. The plan is a table of slot runs (length, first rank, count, sequence, offset). Pieces are ranked
    within their length in salted groups and joined to the runs by (length, block of ranks).
 
@@ -32,6 +34,8 @@ from .common import kept, staged, table
 
 SIZE = 2048
 END_ID = 0
+#: Ids that a pattern may leave free.
+GAP = 16
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
 
@@ -130,9 +134,9 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "do
 # ---- the plan, from the histogram alone ----
 
 
-def patterns_of(present: np.ndarray, size: int) -> np.ndarray:
-    """All a <= b <= c over lengths that occur, c the longest that still fits beside a and b; 0
-    stands for no document."""
+def patterns_of(present: np.ndarray, size: int, gap: int = GAP) -> np.ndarray:
+    """All a <= b <= c over lengths that occur, c the longest that still fits beside a and b, which
+    leave ``gap`` ids free at most; 0 stands for no document."""
     have = np.zeros(size + 1, bool)
     have[present] = True
     have[0] = True
@@ -140,7 +144,7 @@ def patterns_of(present: np.ndarray, size: int) -> np.ndarray:
     a, b = np.meshgrid(np.flatnonzero(have[: size // 3 + 1]), np.flatnonzero(have), indexing="ij")
     room = size - a - b
     c = longest[np.maximum(room, 0)]
-    ok = (b >= a) & (room >= 0) & (c >= b) & (c > 0)
+    ok = (b >= a) & (room >= 0) & (c >= b) & (c > 0) & (room - c <= gap)
     return np.stack([a[ok], b[ok], c[ok]], 1)
 
 
@@ -205,6 +209,12 @@ def plan(hist: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...],
     h = np.zeros(size + 1, np.int64)
     for n, count in hist.items():
         h[n] += count
+    plans = best_fit({n: int(h[n]) for n in range(1, size + 1) if h[n]}, size), by_patterns(h, size)
+    return min(plans, key=lambda p: sum(times for _, times in p))
+
+
+def by_patterns(h: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan by patterns, topped up with what they left over."""
     out: list[tuple[tuple[int, ...], int]] = []
     pats, counts = fit(h, size)
     left = h.copy()
@@ -215,11 +225,12 @@ def plan(hist: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...],
             out.append((lengths, times))
             for n in lengths:
                 left[n] -= times
-    return out + best_fit({n: int(left[n]) for n in range(1, size + 1) if left[n]}, size)
+    return best_fit({n: int(left[n]) for n in range(1, size + 1) if left[n]}, size, out)
 
 
-def best_fit(hist: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing, a run of equal lengths at a time into groups of equal sequences."""
+def best_fit(hist: dict[int, int], size: int, begun: Iterable[tuple[tuple[int, ...], int]] = ()) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing, a run of equal lengths at a time into groups of equal sequences; those
+    ``begun`` take part with their free space."""
     groups: dict[int, Counter] = {}  # free -> {lengths: count}
     free: list[int] = []  # the keys of groups, ascending
     import bisect
@@ -231,6 +242,8 @@ def best_fit(hist: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int
             bisect.insort(free, f)
         groups[f][lengths] += count
 
+    for lengths, count in begun:
+        put(lengths, count)
     for n in sorted(hist, reverse=True):
         todo = hist[n]
         while todo:

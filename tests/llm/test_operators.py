@@ -149,6 +149,18 @@ def test_packing_plan_covers_the_histogram():
     assert sum(t for _, t in packing.plan({1500: 10**9})) == 10**9
 
 
+@pytest.mark.parametrize("hist", [{100: 1000}, {512: 1000}, {n: 1000 for n in range(20, 501)}, {682: 900, 683: 900, 300: 50}, {1000: 10, 900: 10, 7: 200}])
+def test_packing_plan_fills_sequences_of_short_documents(hist):
+    planned = packing.plan(hist)
+    got = defaultdict(int)
+    for lengths, times in planned:
+        assert sum(lengths) <= 2048 and times > 0
+        for n in lengths:
+            got[n] += times
+    assert dict(got) == hist
+    assert sum(t for _, t in planned) <= 1.02 * sum(n * c for n, c in hist.items()) / 2048 + 1
+
+
 def test_tokens_of_odd_words():
     tokens = packing.tokens_of(packing.vocabulary_path())
     for text in ["", " ", "a\nb\tc", "don't I'll x's", "A\u030angstr\u00f6m \u212b", "<|endoftext|> a<|endoftext|>", "12 3.5,", "x\x1cy", "\u65e5\u672c\u8a9e", "a## c_ e.'s", "\u0130 \u00df \u1e9e"]:
