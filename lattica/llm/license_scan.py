@@ -1,15 +1,16 @@
 """License scans by MinHash bands over overlapping windows.
 
 For each template of m shingles, windows of 2m shingles start every m shingles, so any copy of the
-template lies whole inside one of them, and the window's resemblance to the template is about 1/2 at
-least for an exact copy. Signatures of ``HASHES`` minima are cut into bands of one row: a window
-meets a template in some band with probability 1 - (1 - s)**HASHES, for s = 0.8 * 0.5 more than
-0.9997. The retrieved template's shingles are then counted exactly in the window: containment of
-0.8 or more is a match.
+template lies whole inside one of them: the window's resemblance s to the template is 1/2 at least
+for an exact copy and 0.8 / 2.2 at least for a containment of 0.8. Signatures of ``HASHES``
+independent minima are cut into bands of one row: a window meets a template in some band with
+probability 1 - (1 - s)**HASHES, which misses fewer than one in 10**12. The retrieved template's
+shingles are then counted exactly in the window: containment of 0.8 or more is a match.
 
 A shingle is five words; a template of fewer words is one shingle of all its words and is found by
-that shingle itself. Only distinct window sizes (powers of two over the templates' sizes) are
-scanned. Windows whose minima meet nothing cost a few array operations; nothing is shuffled.
+that shingle itself. A band is met in a shingle that window and template share, so signatures are
+made only for windows that hold a shingle of the template, which one look at each shingle of the
+text finds. Nothing is shuffled.
 
 Defined cases: null text matches nothing. Repeated rows keep one row each. Ties of containment keep
 every template. Very long texts are scanned whole.
@@ -17,6 +18,7 @@ every template. Very long texts are scanned whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -24,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .decontaminate import Hashes, runs, words_of
+from .decontaminate import Filter, Hashes, runs, words_of
 
 SHINGLE = 5
-HASHES = 16
+HASHES = 64
 CONTAINED = 0.8
 
 #: License notices, by name.
@@ -45,37 +47,37 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 
-_PERMUTE = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF for i in range(1, HASHES + 1)], np.uint64) | np.uint64(1)
+_SEEDS = np.frombuffer(b"".join(hashlib.blake2b(b"license %d" % i, digest_size=8).digest() for i in range(HASHES)), "<u8")[:, None]
 
 
 def minima(h: np.ndarray) -> np.ndarray:
-    return np.array([(h * m).min() for m in _PERMUTE], np.uint64)
+    """The least value of each of ``HASHES`` hash functions over shingles."""
+    x = h ^ _SEEDS
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(33))).min(1)
 
 
 class Templates:
     def __init__(self, templates: Sequence[tuple[str, str]]):
         self.hashes = Hashes()
-        self.names, self.sets = [], []
+        self.names, self.sets, self.steps = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}  # words -> shingle -> templates
-        by_size: dict[int, list[int]] = {}
+        self.long: list[int] = []
         for name, text in templates:
             w = words_of(text)
             if not w:
                 continue
             h = runs(self.hashes.of(w), SHINGLE)
             t = len(self.names)
-            self.names.append(name), self.sets.append(np.unique(h))
+            self.names.append(name), self.sets.append(np.unique(h)), self.steps.append(len(h))
             if len(w) <= SHINGLE:
                 self.short.setdefault(len(w), {}).setdefault(int(h[0]), []).append(t)
             else:
-                by_size.setdefault(1 << (len(h) - 1).bit_length(), []).append(t)
-        # for each step (of shingles): band -> minimum -> templates
-        self.bands = {m: [dict() for _ in _PERMUTE] for m in by_size}
-        for m, own in by_size.items():
-            for t in own:
-                for band, x in zip(self.bands[m], minima(self.sets[t]).tolist(), strict=True):
-                    band.setdefault(x, []).append(t)
-        self.keys = {m: [np.array(sorted(b), np.uint64) for b in bands] for m, bands in self.bands.items()}
+                self.long.append(t)
+        self.signatures = {t: minima(self.sets[t]) for t in self.long}
+        self.filter = Filter(np.unique(np.concatenate([np.zeros(0, np.uint64), *(self.sets[t] for t in self.long)])))
+        self.holds = {t: np.isin(self.filter.keys, self.sets[t]) for t in self.long}  # by place in the filter's keys
 
     def scan(self, text: str | None) -> list[tuple[str, int, float]]:
         """(name, first word of the window, containment), one for each name: the best."""
@@ -91,22 +93,16 @@ class Templates:
                     for t in known[int(h[at])]:
                         self._better(best, t, int(at), 1.0)
         h = runs(wh, SHINGLE) if len(words) >= SHINGLE else wh[:0]
-        for m in self.bands if len(h) else ():
-            starts = np.arange(0, len(h), m)
-            seen: set[tuple[int, int]] = set()
-            for i, p in enumerate(_PERMUTE):
-                block = np.minimum.reduceat(h * p, starts)
-                window = np.minimum(block, np.append(block[1:], np.uint64(0xFFFFFFFFFFFFFFFF)))  # this block and the next
-                keys = self.keys[m][i]
-                k = np.minimum(np.searchsorted(keys, window), len(keys) - 1)
-                for b in np.flatnonzero(keys[k] == window):
-                    for t in self.bands[m][i][int(window[b])]:
-                        if (int(b), t) not in seen:
-                            seen.add((int(b), t))
-                            own = h[b * m : (b + 2) * m]
-                            share = float(np.isin(self.sets[t], own).mean())
-                            if share >= CONTAINED:
-                                self._better(best, t, int(b * m), share)
+        places, keys = self.filter.find(h)
+        for t in self.long if len(places) else ():
+            m = self.steps[t]
+            b = places[self.holds[t][keys]] // m  # this block begins a window, and so does the one before
+            for b in np.unique(np.concatenate([b, b[b > 0] - 1])).tolist():
+                own = h[b * m : (b + 2) * m]
+                if (minima(own) == self.signatures[t]).any():
+                    share = float(np.isin(self.sets[t], own).mean())
+                    if share >= CONTAINED:
+                        self._better(best, t, b * m, share)
         return [(name, at, share) for name, (share, at) in sorted((n, (s, -neg)) for n, (s, neg) in best.items())]
 
     def _better(self, best: dict[str, tuple[float, int]], t: int, at: int, share: float) -> None:

@@ -236,6 +236,32 @@ def test_license_scan(spark):
     assert got == {0: "", 1: "", 2: "MIT", 3: "MIT", 4: "CC-BY-NC-4.0", 5: "", 6: ""}
 
 
+@pytest.mark.parametrize("t", range(len(license_scan.TEMPLATES)))
+def test_license_scan_finds_every_copy(t):
+    """Whole copies, and the first words that make up a containment of 0.8, against a search of every window."""
+    name, text = license_scan.TEMPLATES[t]
+    known = license_scan.Templates([(name, text)])
+    every = license_scan.Templates(license_scan.TEMPLATES)
+    own = license_scan.words_of(text)
+    k = min(license_scan.SHINGLE, len(own))
+    shingles = lambda w: [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
+    want, m = set(shingles(own)), len(own) - k + 1
+    rng = random.Random(t)
+    found = 0
+    for trial in range(500):
+        noise = [b"w%d" % rng.randrange(10**6) for _ in range(150)]
+        at = rng.randrange(150)
+        part = own if trial % 2 else own[: -(-m * 4 // 5) + k - 1]
+        words = noise[:at] + part + noise[at:]
+        s = shingles(words)
+        share = max(len(want.intersection(s[b : b + 2 * m])) / len(want) for b in range(0, len(s), m))
+        text = b" ".join(words).decode()
+        assert [x[2] for x in known.scan(text)] == ([pytest.approx(share)] if share >= 0.8 else [])
+        assert share < 0.8 or name in [x[0] for x in every.scan(text)]
+        found += share >= 0.8
+    assert found >= 250
+
+
 def test_sharding(spark, rows):
     got = sharding.shard(table(spark, rows), 4000).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted((i is None, i or 0) for i, _, _ in rows)
