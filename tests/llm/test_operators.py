@@ -309,6 +309,31 @@ def test_cross_parsing_counts_phrases():
     assert parser.phrases([text])[0, 0] == phrases(text, reference)
 
 
+def test_language_tells_late_letters_apart():
+    """Two languages of Han letters beside one that has 300 letters before them."""
+    rng = random.Random(10)
+    letters = {"aa": [chr(c) for c in range(0x400, 0x600) if chr(c).isalpha() and chr(c).islower()] + [chr(0xAC00 + i) for i in range(300)], "yy": [chr(0x4E00 + i) for i in range(900)], "zz": [chr(0x5E00 + i) for i in range(900)]}
+    letters["aa"] += [chr(0x1200 + i) for i in range(300) if chr(0x1200 + i).isalpha()]
+    word = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    words = {lang: [word(lang, 3) for _ in range(400)] for lang in letters}
+    samples = {lang: prose(rng, 3000, words[lang]) for lang in letters}
+    parser = language.Parser(samples)
+    want = list(letters) * 10
+    assert [x for x, _ in parser.predict([prose(rng, 50, words[lang]) for lang in want])] == want
+    for j, lang in enumerate(letters):
+        text = prose(rng, 60, words[lang])
+        assert parser.phrases([text])[0, j] == phrases(text, samples[lang])
+
+
+def test_language_learns_every_value(spark):
+    rng = random.Random(11)
+    words = {f"l{j:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(20)] for j in range(70)}
+    docs = table(spark, [(7 * j + i, prose(rng, 30, own), lang) for j, (lang, own) in enumerate(words.items()) for i in range(7)])
+    samples = language.sample(docs)
+    assert set(samples) == set(words)
+    assert all(r.lang_pred == f"l{r.doc_id // 7:02}" for r in language.identify(docs, samples).collect())
+
+
 @pytest.mark.parametrize(("module", "label", "bad"), [(quality, "quality", 0), (toxicity, "toxic", 1)])
 def test_classifiers(spark, module, label, bad):
     rng = random.Random(6)
