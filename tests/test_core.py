@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from lattica import registry
 from lattica.functions.blocks import ArrayRef, InvalidArrayRef, adler32, adler32_combine, changed_chunks, from_chunks, memdelta, stitch, to_chunks
 from lattica.functions.dtypes import spark_type
 from lattica.operators import history, intervals
@@ -45,6 +46,15 @@ def test_reductions_count_holes(spark):
     assert abs(r["var"] - x.var()) < 1e-12
 
 
+@pytest.mark.parametrize("n", [500, 200_005])
+def test_reduce_holes_covers_long_tables(spark, tmp_path, n):
+    spark.range(n).selectExpr("id as event_id", "cast(id + 1 as double) as value").write.parquet(f"{tmp_path}/events.parquet")
+    (got,) = registry.QUERIES["reduce_holes"](spark, str(tmp_path)).collect()
+    assert (got.n, got.stored, got.sum, got.max) == (max(200_000, n), n, n * (n + 1) / 2, n)
+    assert got["mean"] == pytest.approx(n * (n + 1) / 2 / got.n)
+    assert got["min"] == (0 if n < got.n else 1)
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", blk_items=4)
     t = store.begin()
