@@ -1,14 +1,30 @@
-"""Algebra of closed integer ranges [lo, hi], as tables (lo, hi) or (lo, hi, value).
+"""Algebra of closed integer ranges [lo, hi], as tables (lo, hi) or (lo, hi, value), over all longs.
 
-Ranges are cut into buckets of ``width`` where they are compared, so that joins are by key and no
-window spans the whole line; neighbours are put together again at the end."""
+Sets are swept: every range opens a place before ``lo`` and closes one behind ``hi``; at each place
+the numbers of open ranges are running sums. The places are dealt into buckets at quantiles of the
+data, summed inside a bucket, and shifted by what the buckets before it sum up to (a row a bucket),
+so no window spans the line, ranges aren't cut, and their width doesn't matter. What is put out is
+where the state changes, so results are coalesced.
+
+Pairs that overlap are joined by level: a range of 2**(k-1) to 2**k keys touches two buckets of 2**k
+at most, and so does every shorter one.
+
+Rows with lo > hi are empty ranges and add nothing. Values must not be null; ranges of a map must
+not overlap (``violations`` tells). Keys may be any longs, both ends included.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 1 << 16
+from ..session import settled
+
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Places that a bucket of the sweep holds, roughly.
+PER_BUCKET = 50_000
 
 
 def of_keys(keys: DataFrame, key: str) -> DataFrame:
@@ -16,75 +32,156 @@ def of_keys(keys: DataFrame, key: str) -> DataFrame:
     return coalesced(keys.select(F.col(key).cast("long").alias("lo"), F.col(key).cast("long").alias("hi")).distinct())
 
 
-def cut(ranges: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Each range once for each bucket it touches, cut there. Adds bucket."""
-    bucket = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
-    out = ranges.where("lo <= hi").withColumn("bucket", bucket)
-    return out.withColumn("lo", F.greatest("lo", F.col("bucket") * width)).withColumn("hi", F.least("hi", F.col("bucket") * width + (width - 1)))
+def _places(ranges: DataFrame, opens: str) -> DataFrame:
+    """Two rows a range: where it opens and where it closes. A place is (last, pos): before ``pos``;
+    with ``last``, behind the greatest long."""
+    value = F.col("value") if "value" in ranges.columns else F.lit(None).cast("string")
+    behind = F.struct((F.col("hi") == MOST).alias("last"), F.when(F.col("hi") < MOST, F.col("hi") + 1).otherwise(F.lit(MOST)).alias("pos"))
+    ends = F.array(
+        F.struct(F.struct(F.lit(False).alias("last"), F.col("lo").alias("pos")).alias("at"), F.lit(1).alias("d"), value.alias("v")),
+        F.struct(behind.alias("at"), F.lit(-1).alias("d"), F.lit(None).cast(ranges.schema["value"].dataType if "value" in ranges.columns else "string").alias("v")),
+    )
+    out = ranges.where("lo <= hi").select(F.explode(ends).alias("x")).select("x.at", F.col("x.d").alias("d"), F.col("x.v").alias("v"))
+    none = F.lit(0)
+    return out.select("at", (F.col("d") if opens == "a" else none).alias("da"), (F.col("d") if opens == "b" else none).alias("db"), "v")
+
+
+def _sweep(a: DataFrame, b: DataFrame | None, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """Ranges on which ``keep(open ranges of a, open ranges of b)`` holds; with a's values if it has any."""
+    spark = a.sparkSession
+    valued = "value" in a.columns
+    places = _places(a, "a")
+    if b is not None:
+        places = places.unionByName(_places(b.select("lo", "hi"), "b").withColumn("v", F.lit(None).cast(places.schema["v"].dataType)))
+    at = settled(places.groupBy("at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), F.max("v").alias("v")))  # read several times
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = at.count()
+    parts = min(most * 4, -(-n // PER_BUCKET))
+    cuts: list[int] = []
+    if parts > 1:
+        cuts = sorted(set(at.agg(F.percentile_approx("at.pos", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("at.pos"))) if cuts else F.lit(0)
+    at = at.withColumn("bucket", bucket.cast("int"))
+
+    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row a bucket
+    sums = at.groupBy("bucket").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("v"))
+    sums = sums.select("bucket", F.coalesce(F.sum("da").over(whole), F.lit(0)).alias("a0"), F.coalesce(F.sum("db").over(whole), F.lit(0)).alias("b0"), F.last("v", True).over(whole).alias("v0"))
+    upto = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    swept = at.select("*", F.sum("da").over(upto).alias("sa"), F.sum("db").over(upto).alias("sb"), F.last("v", True).over(upto).alias("va"), F.last("v", True).over(before).alias("vb")).join(F.broadcast(sums), "bucket")
+    open_a, open_b = F.col("a0") + F.col("sa"), F.col("b0") + F.col("sb")
+    now = F.when(keep(open_a, open_b), F.struct(F.coalesce("va", "v0").alias("v")))
+    was = F.when(keep(open_a - F.col("da"), open_b - F.col("db")), F.struct(F.coalesce("vb", "v0").alias("v")))
+    turns = swept.select("bucket", "at", now.alias("now"), was.alias("was")).where(~F.col("now").eqNullSafe(F.col("was")))
+
+    # a kept stretch ends where the state turns next; for a bucket's last one that is in a later bucket
+    firsts = turns.groupBy("bucket").agg(F.min("at").alias("first"))
+    following = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("bucket", F.min("first").over(following).alias("_later"))
+    turns = turns.withColumn("_next", F.lead("at").over(Window.partitionBy("bucket").orderBy("at"))).join(F.broadcast(firsts), "bucket").where("now is not null")
+    end = F.coalesce("_next", "_later")
+    hi = F.when(end["last"], F.lit(MOST)).otherwise(end["pos"] - F.when(end["last"], 0).otherwise(1))
+    return turns.select(F.col("at.pos").alias("lo"), hi.alias("hi"), *([F.col("now.v").alias("value")] if valued else []))
+
+
+def coalesced(ranges: DataFrame) -> DataFrame:
+    """Disjoint, no two adjacent ones (of an equal value)."""
+    return _sweep(ranges, None, lambda a, b: a > 0)
+
+
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return _sweep(a.select("lo", "hi"), b, lambda x, y: (x > 0) | (y > 0))
+
+
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys of both; keeps a's value."""
+    return _sweep(a, b, lambda x, y: (x > 0) & (y > 0))
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Parts of ``a`` outside ``b``; keeps a's value."""
+    return _sweep(a, b, lambda x, y: (x > 0) & (y <= 0))
+
 
+def set_ranges(ranges: DataFrame, new: DataFrame) -> DataFrame:
+    """The map with the ranges of ``new`` (lo, hi, value) overwriting it."""
+    return coalesced(difference(ranges, new).unionByName(new.select("lo", "hi", "value")))
 
-def _islands(ranges: DataFrame, by: list[str], same: list[str]) -> DataFrame:
-    """Merges overlapping and adjacent ranges of equal ``same`` within ``by``."""
-    w = Window.partitionBy(*by, *same).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("_new", F.when(F.col("lo") > reach + 1, 1).when(reach.isNull(), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*by, *same, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
+def set_range(ranges: DataFrame, lo: int, hi: int, value) -> DataFrame:
+    kind = ranges.schema["value"].dataType.simpleString()
+    return set_ranges(ranges, ranges.sparkSession.createDataFrame([(lo, hi, value)], f"lo long, hi long, value {kind}"))
 
-def coalesced(ranges: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Sorted, disjoint, no two adjacent ones of an equal value. First within buckets; then only the
-    ranges that touch a bucket's edge are merged across."""
-    same = ["value"] if "value" in ranges.columns else []
-    local = _islands(cut(ranges, width), ["bucket"], same)
-    edge = (F.col("lo") == F.col("bucket") * width) | (F.col("hi") == F.col("bucket") * width + (width - 1))
-    inner = local.where(~edge).select("lo", "hi", *same)
-    return inner.unionByName(_islands(local.where(edge).select("lo", "hi", *same), [], same).select("lo", "hi", *same))
 
+def del_range(ranges: DataFrame, lo: int, hi: int) -> DataFrame:
+    return difference(ranges, ranges.sparkSession.createDataFrame([(lo, hi)], "lo long, hi long"))
 
-def union(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
-    return coalesced(a.select("lo", "hi").unionByName(b.select("lo", "hi")), width)
 
+# ---- pairs that meet ----
 
-def intersection(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
-    x, y = cut(a.select("lo", "hi"), width), cut(b.select(F.col("lo"), F.col("hi")), width).select("bucket", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    both = x.join(y, "bucket").where("lo <= hi2 and lo2 <= hi")
-    return coalesced(both.select(F.greatest("lo", "lo2").alias("lo"), F.least("hi", "hi2").alias("hi")), width)
 
+def _level(lo: str, hi: str) -> Column:
+    """Bits of hi - lo, 63 at most."""
+    return F.least(F.lit(63), F.coalesce(F.length(F.bin(F.expr(f"try_subtract({hi}, {lo})"))), F.lit(63)))
 
-def difference(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Parts of ``a`` outside ``b``; keeps a's value."""
-    same = ["value"] if "value" in a.columns else []
-    x = cut(coalesced(a, width), width)
-    y = cut(coalesced(b.select("lo", "hi"), width), width).select("bucket", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    held = x.join(y, "bucket", "left").withColumn("_in", F.col("lo2").isNotNull() & (F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")))
-    holes = held.groupBy("bucket", "lo", "hi", *same).agg(F.array_sort(F.collect_list(F.when(F.col("_in"), F.struct("lo2", "hi2")))).alias("holes"))  # at most ``width`` in a bucket
-    starts = F.concat(F.array(F.col("lo")), F.transform("holes", lambda h: h["hi2"] + 1))
-    ends = F.concat(F.transform("holes", lambda h: h["lo2"] - 1), F.array(F.col("hi")))
-    parts = holes.withColumn("part", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))))
-    parts = parts.select(F.greatest("lo", F.col("part.s")).alias("lo"), F.least("hi", F.col("part.e")).alias("hi"), *same)
-    return coalesced(parts.where("lo <= hi"), width)
 
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The columns of ``a``, and those of ``b`` (lo2, hi2, value2), of each pair of ranges that meet."""
+    a = a.where("lo <= hi").withColumn("_la", _level("lo", "hi"))
+    b = b.where("lo <= hi").select(*(F.col(c).alias(c + "2") for c in b.columns)).withColumn("_lb", _level("lo2", "hi2"))
+    levels = sorted({r[0] for r in a.select("_la").distinct().unionByName(b.select(F.col("_lb").alias("_la")).distinct()).collect()})  # 63 at most
+    every = F.array(*map(F.lit, levels))
+
+    def keyed(side: DataFrame, lo: str, hi: str, own: str, least: bool) -> DataFrame:
+        """Once for each bucket that a range touches, at its own level (``least``) or at all from it on."""
+        at = side.withColumn("_level", F.col(own) if least else F.explode(F.filter(every, lambda k: k >= F.col(own))))
+        touched = F.array_distinct(F.array(F.expr(f"shiftright({lo}, _level)"), F.expr(f"shiftright({hi}, _level)")))
+        return at.withColumn("_bucket", F.explode(touched))
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        both = x.join(y, ["_level", "_bucket"]).where("lo <= hi2 and lo2 <= hi and _bucket = shiftright(greatest(lo, lo2), _level)")
+        return both.drop("_level", "_bucket", "_la", "_lb")
+
+    longer_b = met(keyed(a, "lo", "hi", "_la", False), keyed(b, "lo2", "hi2", "_lb", True))
+    longer_a = met(keyed(a, "lo", "hi", "_la", True), keyed(b, "lo2", "hi2", "_lb", False).where("_lb < _level"))
+    return longer_b.unionByName(longer_a)
 
-def set_range(ranges: DataFrame, lo: int, hi: int, value: str, width: int = WIDTH) -> DataFrame:
-    """The map with [lo, hi] overwritten by ``value``."""
-    new = ranges.sparkSession.createDataFrame([(lo, hi, value)], "lo long, hi long, value string")
-    return coalesced(difference(ranges, new, width).unionByName(new), width)
 
+def get(ranges: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, value, lo, hi) for each of ``keys`` (k): its value and its range; nulls where there is none."""
+    held = overlaps(keys.select(F.col("k").alias("lo"), F.col("k").alias("hi")).distinct(), ranges)
+    held = held.select(F.col("lo").alias("k"), F.col("value2").alias("value"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))
+    return keys.join(held, "k", "left")
 
-def overlaps(a: DataFrame, b: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(lo, hi, lo2, hi2) of each pair of ranges that meet, once: in the bucket where they first do."""
-    bucket = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
-    x = a.select("lo", "hi").withColumn("bucket", bucket("lo", "hi"))
-    y = b.select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2")).withColumn("bucket", bucket("lo2", "hi2"))
-    first = F.floor(F.greatest("lo", "lo2") / width)
-    return x.join(y, "bucket").where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")) & (F.col("bucket") == first)).drop("bucket")
+
+def tested(ranges: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lo, hi, has, intersects) for each distinct range of ``asked``: are all its keys in the
+    ranges, is any? An empty range has all and meets none."""
+    asked = asked.select("lo", "hi").distinct()
+    met = overlaps(asked, coalesced(ranges.select("lo", "hi"))).groupBy("lo", "hi").agg(F.max((F.col("lo2") <= F.col("lo")) & (F.col("hi") <= F.col("hi2"))).alias("_all"))
+    return asked.join(met, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("_all", F.col("lo") > F.col("hi")).alias("has"), F.col("_all").isNotNull().alias("intersects"))
 
 
 def covers(ranges: DataFrame, lo: int, hi: int) -> bool:
     """Are all keys of [lo, hi] in the ranges? True of an empty range."""
-    if lo > hi:
-        return True
-    one = ranges.sparkSession.createDataFrame([(lo, hi)], "lo long, hi long")
-    got = intersection(ranges, one).agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0]
-    return got == hi - lo + 1
+    return lo > hi or tested(ranges, ranges.sparkSession.createDataFrame([(lo, hi)], "lo long, hi long")).first()["has"]
+
+
+def intersects(ranges: DataFrame, lo: int, hi: int) -> bool:
+    """Is any key of [lo, hi] in the ranges? False of an empty range."""
+    return lo <= hi and not ranges.where((F.col("lo") <= F.col("hi")) & (F.col("lo") <= hi) & (F.col("hi") >= lo)).isEmpty()
+
+
+def violations(ranges: DataFrame) -> DataFrame:
+    """Rows that break the invariant: empty, overlapping, or adjacent to one of an equal value."""
+    return ranges.exceptAll(coalesced(ranges).select(*ranges.columns))
+
+
+def contains(ranges: DataFrame, key: int) -> bool:
+    return intersects(ranges, key, key)
+
+
+def equal(a: DataFrame, b: DataFrame) -> bool:
+    """The same keys (and values), however cut."""
+    x, y = coalesced(a), coalesced(b)
+    return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()

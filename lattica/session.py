@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +26,25 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _shipped.add(sc.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for written tables: that of ``spark.checkpoint.dir``, which all executors share; in
+    local mode, where that is unset, a temporary one."""
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(path)
+        return path
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lattica-')}")
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computed once and read from the checkpoint folder from then on: what is used several times, or
+    goes round in a loop, isn't computed again and survives lost executors."""
+    scratch(df.sparkSession)
+    return df.checkpoint()
