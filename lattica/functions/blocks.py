@@ -10,6 +10,7 @@ from math import prod
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +24,44 @@ def memdelta(a: bytes, b: bytes) -> int:
     return abs(len(a) - len(b)) + int((np.frombuffer(a[:n], np.uint8) != np.frombuffer(b[:n], np.uint8)).sum())
 
 
-@F.pandas_udf(T.LongType())
-def memdelta_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([memdelta(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="Int64")
+def memdeltas(a: pa.Array, b: pa.Array) -> pa.Array:
+    """``memdelta`` of each pair of two binary arrays; null if either is. The bytes of a batch are
+    compared together."""
+    valid = pa.compute.and_(a.is_valid(), b.is_valid()).to_numpy(zero_copy_only=False)
+    x, y = (pa.compute.fill_null(c, b"") for c in (a, b))
+    nx, ny = (pa.compute.binary_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (x, y))
+    both = np.minimum(nx, ny)
+
+    def heads(c: pa.Array) -> np.ndarray:
+        raw = b"".join(part[:n] for part, n in zip(c.to_pylist(), both.tolist(), strict=True))
+        return np.frombuffer(raw, np.uint8)
+
+    unlike = np.concatenate([[0], np.cumsum(heads(x) != heads(y))])
+    ends = np.cumsum(both)
+    out = np.abs(nx - ny) + unlike[ends] - unlike[ends - both]
+    return pa.array(out, pa.int64(), mask=~valid)
+
+
+@F.arrow_udf(T.LongType())
+def memdelta_of(a: pa.Array, b: pa.Array) -> pa.Array:
+    return memdeltas(a, b)
+
+
+def deltas(rows: DataFrame) -> DataFrame:
+    """``rows`` (file_id, blk, data, was, old) with the trimmed bytes ``new``, their lengths, how many
+    bytes differ and whether the new begin with the old."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [(x or b"").rstrip(b"\0") for x in batch.column(2).to_pylist()]
+            old = [(x or b"").rstrip(b"\0") for x in batch.column(4).to_pylist()]
+            new_, old_ = pa.array(new, pa.binary()), pa.array(old, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), new_, old_, pa.array([len(x) for x in new], pa.int64()), pa.array([len(x) for x in old], pa.int64()), memdeltas(new_, old_), pa.array([x.startswith(y) for x, y in zip(new, old, strict=True)])],
+                ["file_id", "blk", "was", "new", "old", "new_len", "old_len", "delta", "starts"],
+            )
+
+    return rows.select("file_id", "blk", "data", "was", "old").mapInArrow(run, "file_id long, blk long, was string, new binary, old binary, new_len long, old_len long, delta long, starts boolean")
 
 
 @F.pandas_udf(T.BinaryType())
@@ -63,10 +99,13 @@ def changed_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
 def stitch(chunks: list[tuple[int, bytes]], blksize: int | None = None) -> bytes:
     """A block from its chunks, zeros between. Offsets must be unique, not negative, not overlap and
     not overrun the block."""
-    out, end = bytearray(), 0
+    out, end, before = bytearray(), 0, None
     for at, data in sorted(chunks):
         if at < 0:
             raise ValueError(f"invalid data: offset {at} < 0")
+        if at == before:
+            raise ValueError(f"invalid data: two chunks at {at}")
+        before = at
         if at < end:
             raise ValueError(f"invalid data: chunk at {at} overlaps one that ends at {end}")
         out += bytes(at - end) + data
@@ -102,20 +141,46 @@ def adler32_combine(first: int, second: int, length: int) -> int:
     return ((b1 + b2 + length * (a1 - 1)) % base) << 16 | (a1 + a2 - 1) % base
 
 
-def adler32(blocks: DataFrame, blksize: int) -> int:
-    """Checksum of a file of blocks (blk, data), holes as zeros: a number a block, joined in order."""
+def zeros_adler32(n: int) -> int:
+    """adler32 of ``n`` zero bytes: the first sum stays 1, the second counts them."""
+    return (n % 65521) << 16 | 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def adler32(blocks: DataFrame, blksize: int, per_run: int = 4096) -> int:
+    """Checksum of a file of blocks (blk, data), holes as zeros. Blocks are summed where they are and
+    joined by runs of ``per_run``; the driver gets one number a run that has blocks."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.adler32((x or b"").ljust(blksize, b"\0")) for x in batch.column(1).to_pylist()], pa.int64())], ["blk", "a"])
 
-    out, end = 1, 0
-    hole = zlib.adler32(bytes(blksize))
-    for r in blocks.select(F.col("blk").cast("long").alias("blk"), "data").mapInArrow(run, "blk long, a long").orderBy("blk").toLocalIterator():
-        for a in [hole] * (r["blk"] - end) + [r["a"]]:
-            out = adler32_combine(out, a, blksize)
-        end = r["blk"] + 1
-    return out
+    def joined(parts: list[tuple[int, int, int]]) -> int:
+        """Of (first byte, bytes, sum) in order, from byte 0 on."""
+        out, end = 1, 0
+        for at, n, a in parts:
+            if at > end:
+                out = adler32_combine(out, zeros_adler32(at - end), at - end)
+            out, end = adler32_combine(out, a, n), at + n
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for g, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                base = g * per_run
+                sums.append(joined(sorted(((p["blk"] - base) * blksize, blksize, p["a"]) for p in parts)))
+            last = [max(p["blk"] for p in parts) + 1 for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(last, pa.int64()), pa.array(sums, pa.int64())], ["g", "last", "a"])
+
+    sums = blocks.select(F.col("blk").cast("long").alias("blk"), "data").mapInArrow(one, "blk long, a long")
+    runs = sums.groupBy(F.expr(f"blk div {per_run}").alias("g")).agg(F.collect_list(F.struct("blk", "a")).alias("parts")).mapInArrow(run, "g long, last long, a long")
+    return joined(sorted((r["g"] * per_run * blksize, (r["last"] - r["g"] * per_run) * blksize, r["a"]) for r in runs.collect()))
+
+
+def digests(blocks: DataFrame, blksize: int) -> DataFrame:
+    """(blk, md5) of each block (blk, data), filled up with zeros."""
+    zeros = F.unhex(F.repeat(F.lit("00"), F.lit(blksize) - F.octet_length("data")))
+    return blocks.select("blk", F.md5(F.concat("data", zeros)).alias("md5"))
 
 
 class InvalidArrayRef(Exception):
@@ -142,11 +207,12 @@ class ArrayRef:
         high = at + sum(max(0, (n - 1) * s) for n, s in zip(view.shape, view.strides, strict=True) if n) + view.itemsize
         return cls(root_name, low, high, at - low, view.shape, view.strides, view.dtype.str)
 
-    def deref(self, data: bytes) -> np.ndarray:
+    def check(self, length: int) -> None:
+        """Can a root of ``length`` bytes satisfy the reference?"""
         d = np.dtype(self.dtype)
-        if not 0 <= self.lo <= self.hi <= len(data):
-            raise InvalidArrayRef(f"bytes [{self.lo}, {self.hi}) are not in the root's {len(data)}")
-        if not 0 <= self.z0 <= self.hi - self.lo:
+        if not 0 <= self.lo <= self.hi <= length:
+            raise InvalidArrayRef(f"bytes [{self.lo}, {self.hi}) are not in the root's {length}")
+        if not 0 <= self.z0 < max(1, self.hi - self.lo):
             raise InvalidArrayRef(f"item 0 at {self.z0} is outside")
         if len(self.shape) != len(self.strides):
             raise InvalidArrayRef("shape and strides differ in length")
@@ -157,4 +223,7 @@ class ArrayRef:
             high = self.z0 + sum(max(0, (n - 1) * s) for n, s in zip(self.shape, self.strides, strict=True)) + d.itemsize
             if low < 0 or high > self.hi - self.lo:
                 raise InvalidArrayRef("the items lie outside the bytes referred to")
-        return np.ndarray(self.shape, d, np.frombuffer(data, np.uint8)[self.lo : self.hi], self.z0, self.strides)
+
+    def deref(self, data: bytes) -> np.ndarray:
+        self.check(len(data))
+        return np.ndarray(self.shape, np.dtype(self.dtype), np.frombuffer(data, np.uint8)[self.lo : self.hi], self.z0, self.strides)

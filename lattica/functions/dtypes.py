@@ -34,3 +34,17 @@ def spark_type(dtype) -> T.DataType:
     if d.kind == "m":
         return T.DayTimeIntervalType()
     return {"S": T.BinaryType, "V": T.BinaryType, "U": T.StringType}[d.kind]()
+
+
+#: The NumPy type of a Spark type's items.
+_BACK = {"boolean": "?", "tinyint": "i1", "smallint": "<i2", "int": "<i4", "bigint": "<i8", "float": "<f4", "double": "<f8"}
+
+
+def numpy_type(kind: T.DataType) -> np.dtype:
+    """The NumPy type of the items that a Spark type holds."""
+    if isinstance(kind, T.StructType):
+        return np.dtype([(f.name, numpy_type(f.dataType)) for f in kind.fields])
+    try:
+        return np.dtype(_BACK[kind.simpleString()])
+    except KeyError:
+        return np.dtype(object)

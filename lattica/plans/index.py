@@ -32,8 +32,9 @@ def strides_of(shape: tuple[int, ...], order: str = "C") -> tuple[int, ...]:
 
 
 def major_axis(shape: tuple[int, ...], order: str = "C") -> int:
-    s = strides_of(shape, order)
-    return s.index(max(s))
+    """The axis that grows: the first in C order, the last in F order."""
+    strides_of(shape, order)
+    return 0 if order == "C" else len(shape) - 1
 
 
 @dataclass(frozen=True)
@@ -81,3 +82,36 @@ def normalised(idx, shape: tuple[int, ...]) -> tuple[Axis, ...]:
 
 def shape_after(axes: tuple[Axis, ...]) -> tuple[int, ...]:
     return tuple(a.n for a in axes if a.kept)
+
+
+def refined(axes: tuple[Axis, ...], idx) -> tuple[Axis, ...]:
+    """The slice ``idx`` of a slice."""
+    kept = [a for a in axes if a.kept]
+    out = [a for a in axes if not a.kept]
+    for i in normalised(idx, tuple(a.n for a in kept)):
+        if i.axis is None:
+            out.append(i)
+            continue
+        old = kept[i.axis]
+        out.append(Axis(old.axis, old.start + i.start * old.step, old.step * i.step, i.n, i.kept))
+    return tuple(out)
+
+
+def permuted(axes: tuple[Axis, ...], order: tuple[int, ...]) -> tuple[Axis, ...]:
+    """The kept axes in another order."""
+    kept = [a for a in axes if a.kept]
+    if sorted(order) != list(range(len(kept))):
+        raise ValueError("axes don't match array")
+    return tuple(a for a in axes if not a.kept) + tuple(kept[i] for i in order)
+
+
+def broadcast_axes(shape: tuple[int, ...], to: tuple[int, ...]) -> tuple[int, ...]:
+    """For each axis of ``to``, the C-order stride of ``shape`` stretched over it (0 where it repeats)."""
+    lead = len(shape) - len(to)
+    if any(n != 1 for n in shape[: max(0, lead)]):
+        raise ValueError(f"could not broadcast input array from shape {shape} into shape {to}")
+    own = (1,) * max(0, -lead) + shape[max(0, lead) :]
+    if any(n not in (1, m) for n, m in zip(own, to, strict=True)):
+        raise ValueError(f"could not broadcast input array from shape {shape} into shape {to}")
+    strides = strides_of(own)
+    return tuple(s if n != 1 else 0 for n, s in zip(own, strides, strict=True))
