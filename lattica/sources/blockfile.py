@@ -1,6 +1,6 @@
 """OS files of fixed-size blocks as a Spark data source: ``format("blockfile")`` with ``path`` and
-``blksize``; rows (blk, data), one partition a block. Paths must be readable and, for writing, be
-writable on every executor.
+``blksize``; rows (blk, data). A partition reads ``partbytes`` of blocks in a row (64 MiB, unless
+given). Paths must be readable and, for writing, be writable on every executor: a shared mount.
 
 Writing (mode append) puts each block in its place and leaves the others; shorter data is filled up
 with zeros. A block written again by a retried task gets the same bytes."""
@@ -13,25 +13,30 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
-class Block(InputPartition):
-    def __init__(self, blk: int):
-        self.blk = blk
+class Blocks(InputPartition):
+    def __init__(self, lo: int, hi: int):
+        self.lo, self.hi = lo, hi
 
 
 class BlockReader(DataSourceReader):
-    def __init__(self, path: str, blksize: int):
-        self.path, self.blksize = path, blksize
+    def __init__(self, path: str, blksize: int, partbytes: int):
+        self.path, self.blksize, self.run = path, blksize, max(1, partbytes // blksize)
 
-    def partitions(self) -> list[Block]:
+    def partitions(self) -> list[Blocks]:
         size = os.path.getsize(self.path)
         if size % self.blksize:
             raise ValueError(f"{self.path}: {size} bytes are no multiple of {self.blksize}")
-        return [Block(i) for i in range(size // self.blksize)]
+        n = size // self.blksize
+        return [Blocks(lo, min(n, lo + self.run)) for lo in range(0, n, self.run)]
 
-    def read(self, partition: Block) -> Iterator[tuple[int, bytes]]:
+    def read(self, partition: Blocks) -> Iterator[tuple[int, bytes]]:
         with open(self.path, "rb") as f:
-            f.seek(partition.blk * self.blksize)
-            yield partition.blk, f.read(self.blksize)
+            f.seek(partition.lo * self.blksize)
+            for blk in range(partition.lo, partition.hi):
+                data = f.read(self.blksize)
+                if len(data) < self.blksize:
+                    raise EOFError(f"{self.path}: block {blk} has {len(data)} of {self.blksize} bytes")
+                yield blk, data
 
 
 class BlockWriter(DataSourceWriter):
@@ -60,7 +65,7 @@ class BlockFile(DataSource):
         return "blk long, data binary"
 
     def reader(self, schema) -> BlockReader:
-        return BlockReader(self.options["path"], int(self.options["blksize"]))
+        return BlockReader(self.options["path"], int(self.options["blksize"]), int(self.options.get("partbytes", 64 << 20)))
 
     def writer(self, schema, overwrite: bool) -> BlockWriter:
         if overwrite:
