@@ -1,41 +1,154 @@
-"""A change feed with watchers: commits stream in, pins go out.
+"""A change feed and its watchers: commits and requests stream in, pins and answers go out.
 
-``feed`` reads a folder of Parquet commits (file_id, blk, rev); ``pin_messages`` keeps, for each
-(watcher, file) pair, its revision and what it was told, and emits only what changed."""
+A watcher of a file at a revision sees the file as of then: of every block that is changed later it
+is told, once, which revision to keep (a pin). When it moves on it is told what changes for it, a
+null revision meaning that the block is as at the head again. ``feed`` reads a folder of commits,
+``fan_out`` gives each watcher the commits of its files, ``link`` answers.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "file_id long, blk long, rev long"
+#: Refusals.
+TOO_OLD = "too far away back from head/at (@{head:016x})"
+GOING_BACK = "going back in history is forbidden"
+UNKNOWN = "file not yet known to wcfs or is not a ZBigFile"
+EPOCH = "file epoch detected @{rev:016x} in between (at,head=@{head:016x}]"
+#: Milliseconds that a watcher has to confirm its pins, if any are asked for.
+PIN_TIMEOUT = 30_000
 
 
 def feed(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def pin_messages(events: DataFrame) -> DataFrame:
-    """``events``: streaming (watcher, file_id, at, blk, rev): a change of a tracked block as seen by
-    a watcher of ``at``. Emits (watcher, file_id, blk, pin): the revision that the watcher keeps for
-    a block that moved past ``at``, once for each."""
+def fan_out(commits: DataFrame, watchers: DataFrame) -> DataFrame:
+    """Events for ``link``: each commit (file_id, blk, rev) for each of ``watchers`` (watcher,
+    file_id); a join by file."""
+    return commits.join(watchers.select("watcher", "file_id"), "file_id").select("watcher", "file_id", F.col("rev").alias("seq"), F.lit("commit").alias("kind"), F.lit(None).cast("long").alias("at"), "blk", "rev")
+
+
+class Link:
+    """What one watcher of one file has asked and been told. Of each block the state keeps the
+    revisions that the watcher may still ask for: the last up to ``at`` and those after it."""
+
+    def __init__(self, saved: str | None = None, tail: int = 0):
+        s = json.loads(saved) if saved else {}
+        self.at, self.tail, self.head, self.opened = s.get("at"), s.get("tail", tail), s.get("head", 0), s.get("opened")
+        self.revs: dict[int, list[int]] = {int(k): v for k, v in s.get("revs", {}).items()}
+        self.pinned: dict[int, int] = {int(k): v for k, v in s.get("pinned", {}).items()}
+        self.waiting: list[list[int]] = s.get("waiting", [])
+        self.unconfirmed: list[int] = s.get("unconfirmed", [])
+
+    def saved(self) -> str:
+        return json.dumps(vars(self))
+
+    def rev_at(self, blk: int, at: int) -> int:
+        return max((r for r in self.revs.get(blk, []) if r <= at), default=0)
+
+    def pins(self, at: int) -> dict[int, int]:
+        return {blk: self.rev_at(blk, at) for blk, revs in self.revs.items() if revs[-1] > at}
+
+    def event(self, seq: int, kind: str, at: int | None, blk: int | None, rev: int | None) -> Iterator[tuple]:
+        """Messages (seq, say, blk, rev, error) in answer."""
+        if kind == "open":
+            self.opened = rev
+        elif kind == "commit":
+            yield from self._commit(seq, blk, rev)
+        elif kind == "watch":
+            if at > self.head:
+                self.waiting.append([seq, at])  # answered when the head gets there
+            else:
+                yield from self._watch(seq, at)
+        elif kind == "unwatch":
+            self.at, self.pinned, self.unconfirmed = None, {}, []
+            yield seq, "ok", None, None, None
+        elif kind == "confirm":
+            self.unconfirmed = [b for b in self.unconfirmed if b != blk]
+        elif kind == "forget":
+            self.tail = max(self.tail, min(rev, self.head))
+            self._trim()
+
+    def _commit(self, seq: int, blk: int | None, rev: int) -> Iterator[tuple]:
+        self.head = max(self.head, rev)
+        if blk is not None and rev not in self.revs.setdefault(blk, []):
+            self.revs[blk] = sorted([*self.revs[blk], rev])
+            if self.at is not None and self.revs[blk][-1] > self.at:
+                keep = self.rev_at(blk, self.at)  # a late commit may raise what was told before
+                if self.pinned.get(blk) != keep:
+                    yield self._pin(seq, blk, keep)
+        for asked in [w for w in self.waiting if w[1] <= self.head]:
+            self.waiting.remove(asked)
+            yield from self._watch(*asked)
+
+    def _watch(self, seq: int, at: int) -> Iterator[tuple]:
+        error = None
+        if at < self.tail:
+            error = TOO_OLD.format(head=self.head)
+        elif self.at is None and self.opened is None:
+            error = UNKNOWN
+        elif self.at is not None and at < self.at:
+            error = GOING_BACK
+        elif self.opened > at:
+            error = EPOCH.format(rev=self.opened, head=self.head)
+        if error:
+            yield seq, "error", None, None, error
+            return
+        self.at = at
+        new = self.pins(at)
+        for blk in sorted(self.pinned.keys() - new.keys()):
+            del self.pinned[blk]
+            yield seq, "pin", blk, None, None
+        for blk in sorted(new):
+            if self.pinned.get(blk) != new[blk]:
+                yield self._pin(seq, blk, new[blk])
+        self._trim()
+        yield seq, "ok", None, None, None
+
+    def _pin(self, seq: int, blk: int, rev: int) -> tuple:
+        self.pinned[blk] = rev
+        if blk not in self.unconfirmed:
+            self.unconfirmed.append(blk)
+        return seq, "pin", blk, rev, None
+
+    def _trim(self) -> None:
+        floor = self.tail if self.at is None else self.at
+        for blk, revs in self.revs.items():
+            old = [r for r in revs if r <= floor]
+            self.revs[blk] = old[-1:] + [r for r in revs if r > floor]
+
+
+def link(events: DataFrame, tail: int = 0, pin_timeout: int | None = None) -> DataFrame:
+    """``events``: streaming (watcher, file_id, seq, kind, at, blk, rev) with kinds open (rev: the
+    file's first), commit (blk or, for the head alone, null; rev), watch (at), unwatch, confirm (blk)
+    and forget (rev). Within a batch they count in order of seq. Emits (watcher, file_id, seq, say,
+    blk, rev, error): pin, ok or error. With ``pin_timeout`` a watcher that leaves pins unconfirmed
+    for so many milliseconds is dropped, with say = ``kill``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, told = state.get if state.exists else ([], [])
-        last, told = dict(zip(last[::2], last[1::2], strict=True)), set(told)
-        out = []
-        for batch in batches:
-            for at, blk, rev in sorted(zip(batch["at"], batch["blk"], batch["rev"], strict=True), key=lambda r: r[2]):
-                if rev <= at:
-                    last[blk] = max(rev, last.get(blk, 0))
-                elif blk not in told:
-                    told.add(blk)
-                    out.append((*key, blk, last.get(blk, 0)))
-        state.update(([x for kv in sorted(last.items()) for x in kv], sorted(told)))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, None, "kill", None, None, None)], columns=names).astype(kinds)
+            return
+        at = Link(state.get[0] if state.exists else None, tail)
+        opt = lambda x: None if pd.isna(x) else int(x)
+        rows = [row for batch in batches for row in batch[["seq", "kind", "at", "blk", "rev"]].itertuples(index=False, name=None)]
+        out = [(*key, *said) for seq, kind, *more in sorted(rows, key=lambda r: (r[0], r[1] != "open", r[1] != "commit")) for said in at.event(int(seq), kind, *map(opt, more))]
+        state.update((at.saved(),))
+        if pin_timeout is not None and at.unconfirmed:
+            state.setTimeoutDuration(pin_timeout)
         if out:
-            yield pd.DataFrame(out, columns=["watcher", "file_id", "blk", "pin"])
+            yield pd.DataFrame(out, columns=names).astype(kinds)
 
-    return events.groupBy("watcher", "file_id").applyInPandasWithState(step, "watcher string, file_id long, blk long, pin long", "last array<long>, told array<long>", "append", GroupStateTimeout.NoTimeout)
+    names = ["watcher", "file_id", "seq", "say", "blk", "rev", "error"]
+    kinds = {"file_id": "Int64", "seq": "Int64", "blk": "Int64", "rev": "Int64"}
+    timeout = GroupStateTimeout.NoTimeout if pin_timeout is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("watcher", "file_id").applyInPandasWithState(step, "watcher string, file_id long, seq long, say string, blk long, rev long, error string", "link string", "append", timeout)
