@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.blocks import auto_format
-from .operators import history, intervals, sets
+from .operators import generate, history, intervals, sets
 from .operators.array import Array
 
 QUERIES: dict = {}
@@ -109,9 +108,9 @@ def _(s, d):
     return signal(s, d, size(s, d))[103:-97:7].reduce().select("n", "stored", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"))
 
 
-@query("reduce_holes", f"SELECT CAST(200000 AS BIGINT) AS n, count(*) AS stored, {_RED.format(n=200000.0)}, round(sum(value * value) / 200000.0 - (sum(value) / 200000.0) ** 2, 4) AS var, round(least(min(value), 0), 6) AS min, round(greatest(max(value), 0), 6) AS max FROM events")
+@query("reduce_holes", f"SELECT 2 * {_N} AS n, count(*) AS stored, {_RED.format(n=f'(2.0 * {_N})')}, round(var_pop(value) / 2 + avg(value) ** 2 / 4, 4) AS var, round(least(min(value), 0), 6) AS min, round(greatest(max(value), 0), 6) AS max FROM events")
 def _(s, d):
-    r = signal(s, d, max(200_000, size(s, d))).reduce()  # the shape of the SQL, grown where the table is longer
+    r = signal(s, d, 2 * size(s, d)).reduce()  # as many holes as items
     return r.select("n", "stored", *(F.round(c, k).alias(c) for c, k in (("sum", 4), ("mean", 6), ("var", 4), ("min", 6), ("max", 6))))
 
 
@@ -121,18 +120,16 @@ def _(s, d):
     return item(signal(s, d, n).resize(n // 3).resize(n - 300).rows())
 
 
-@query("append_tail", "SELECT event_id - " + _N + " + 40 AS out_pos, round(value, 6) AS val FROM events WHERE event_id >= " + _N + " - 40 UNION ALL SELECT o_orderkey - lo + 40, round(o_totalprice, 6) FROM orders, (SELECT min(o_orderkey) AS lo FROM orders) WHERE o_orderkey < lo + 20")
+@query("append_tail", "SELECT event_id AS out_pos, round(value, 6) AS val FROM events UNION ALL SELECT " + _N + " + o_orderkey, round(o_totalprice, 6) FROM orders")
 def _(s, d):
-    lo = table(s, d, "orders").agg(F.min("o_orderkey").alias("lo"))
-    new = table(s, d, "orders").crossJoin(F.broadcast(lo)).where("o_orderkey < lo + 20").select((F.col("o_orderkey") - F.col("lo")).alias("pos"), F.col("o_totalprice").alias("val"))
-    return item(signal(s, d, size(s, d)).append(new, 20)[-60:].rows())
+    new = table(s, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("val"))
+    longest = table(s, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    return item(signal(s, d, size(s, d)).append(new, longest).rows())
 
 
 @query("assign_slice", "SELECT event_id AS out_pos, CASE WHEN event_id >= 10 AND event_id < " + _N + " - 10 AND event_id % 4 = 2 THEN 0.5 ELSE round(value, 6) END AS val FROM events")
 def _(s, d):
-    n = size(s, d)
-    ones = s.range(len(range(10, n - 10, 4))).select(F.col("id").alias("out_pos"), F.lit(0.5).alias("val"))
-    return item(signal(s, d, n)[10:-10:4].assign(ones)[:].rows())
+    return item(signal(s, d, size(s, d))[10:-10:4].assign(0.5)[:].rows())
 
 
 @query("hole_fill", "SELECT r AS out_pos, coalesce(round(value, 6), 0) AS val FROM (SELECT unnest(range(0, (" + _N + " + 1) // 2)) AS r) LEFT JOIN (SELECT event_id, value FROM events WHERE event_id % 3 = 0) ON r * 2 = event_id")
@@ -144,85 +141,134 @@ def _(s, d):
 
 @query("struct_view", "SELECT a.event_id // 2 AS out_pos, round(a.value, 6) AS x, round(b.value, 6) AS y FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_id % 2 = 0")
 def _(s, d):
-    r = signal(s, d, (size(s, d) // 2, 2))[:].rows().groupBy(F.expr("out_pos div 2").alias("out_pos"))
-    return r.agg(F.round(F.max(F.when(F.col("out_pos") % 2 == 0, F.col("val"))), 6).alias("x"), F.round(F.max(F.when(F.col("out_pos") % 2 == 1, F.col("val"))), 6).alias("y"))
+    return signal(s, d, (size(s, d) // 2, 2)).structured(["x", "y"]).rows().select("out_pos", F.round("val.x", 6).alias("x"), F.round("val.y", 6).alias("y"))
 
 
-@query("gen_signal", "SELECT CAST(r AS BIGINT) AS pos, round(15 * sin(0.2 * r), 6) AS val FROM (SELECT unnest(range(0, 1000)) AS r)")
+@query("gen_signal", "SELECT event_id AS pos, round(15 * sin(0.2 * event_id), 6) AS val FROM events")
 def _(s, d):
-    return s.range(1000).select(F.col("id").alias("pos"), F.round(15 * F.sin(0.2 * F.col("id")), 6).alias("val"))
+    return generate.signal(s, size(s, d)).select("pos", F.round("val", 6).alias("val"))
 
 
-@query("cumsum_blocks", "SELECT event_id AS pos, round(sum(value) OVER (ORDER BY event_id), 3) AS val FROM events")
+@query("cumsum_blocks", "SELECT event_id AS out_pos, round(sum(value) OVER (ORDER BY event_id), 3) AS val FROM events")
 def _(s, d):
-    e = table(s, d, "events").select(F.col("event_id").alias("pos"), F.col("value").alias("val"), F.expr("event_id div 512").alias("blk"))
-    from pyspark.sql import Window
-
-    sums = e.groupBy("blk").agg(F.sum("val").alias("s"))  # one row a block
-    before = sums.select("blk", (F.sum("s").over(Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    own = F.sum("val").over(Window.partitionBy("blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return e.join(before, "blk").select("pos", F.round(own + F.coalesce("before", F.lit(0.0)), 3).alias("val"))
+    return signal(s, d, size(s, d)).cumsum(64).select("out_pos", F.round("val", 3).alias("val"))
 
 
-@query("file_size", "SELECT (max(event_id // 512) + 1) * 4096 AS size FROM events")
+@query("block_stats", "SELECT event_id // 512 AS blk, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
 def _(s, d):
-    return table(s, d, "events").agg(((F.max(F.expr("event_id div 512")) + 1) * 4096).alias("size"))
+    return signal(s, d, size(s, d)).block_stats(512)
 
 
-@query("block_stats", "SELECT event_id // 512 AS blk, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
-def _(s, d):
-    return table(s, d, "events").groupBy(F.expr("event_id div 512").alias("blk")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+#: Revisions that split a log into three: of each commit one third, and the head.
+_LO, _HI, _HEAD = f"({_N} // 3)", f"({_N} // 3 * 2)", f"({_N} - 1)"
+
 
+def thirds(s, d) -> tuple[int, int, int]:
+    n = size(s, d)
+    return n // 3, n // 3 * 2, n - 1
 
-@query("asof_block_rev", "SELECT user_id AS blk, max(event_id) AS rev FROM events WHERE event_id <= 600 GROUP BY user_id")
+
+@query("asof_block_rev", f"SELECT user_id AS blk, max(event_id) AS rev FROM events WHERE event_id <= {_HI} GROUP BY user_id")
 def _(s, d):
-    return history.rev_at(log(s, d), 600).select("blk", "rev")
+    return history.rev_at(log(s, d), thirds(s, d)[1]).select("blk", "rev")
 
 
-@query("slice_by_rev", "SELECT user_id AS blk, event_id AS rev FROM events WHERE event_id > 300 AND event_id <= 600 AND user_id IN (SELECT user_id FROM events WHERE event_id <= 100)")
+@query("slice_by_rev", f"SELECT user_id AS blk, event_id AS rev FROM events WHERE event_id > {_LO} AND event_id <= {_HI} AND user_id IN (SELECT user_id FROM events WHERE event_id <= {_LO} AND event_type = 'click')")
 def _(s, d):
-    return history.between(log(s, d), 300, 600, log(s, d).where("rev <= 100")).select("blk", "rev")
+    lo, hi, _head = thirds(s, d)
+    return history.between(log(s, d), lo, hi, log(s, d).where((F.col("rev") <= lo) & (F.col("value") == "click"))).select("blk", "rev")
 
 
 _SNAP = "(SELECT user_id AS blk, arg_max(event_type, event_id) AS v FROM events WHERE event_id <= {at} GROUP BY user_id)"
 
 
-@query("snapshot_at", f"SELECT blk, v AS value FROM {_SNAP.format(at=600)}")
+@query("snapshot_at", f"SELECT blk, v AS value FROM {_SNAP.format(at=_HI)}")
+def _(s, d):
+    return history.snapshot(log(s, d), thirds(s, d)[1], ["blk"])
+
+
+_DIFF = f"SELECT coalesce(a.blk, b.blk) AS blk, a.v AS old, b.v AS new FROM {_SNAP.format(at=_LO)} a FULL JOIN {_SNAP.format(at=_HI)} b ON a.blk = b.blk WHERE a.v IS DISTINCT FROM b.v"
+
+
+def third_diff(s, d) -> DataFrame:
+    lo, hi, _head = thirds(s, d)
+    return history.diff(history.snapshot(log(s, d), lo, ["blk"]), history.snapshot(log(s, d), hi, ["blk"]), ["blk"])
+
+
+@query("snapshot_diff", _DIFF)
+def _(s, d):
+    return third_diff(s, d)
+
+
+@query("diff_patch", f"SELECT blk, v AS value FROM {_SNAP.format(at=_HI)}")
 def _(s, d):
-    return history.snapshot(log(s, d), 600, ["blk"])
+    return history.patch(history.snapshot(log(s, d), thirds(s, d)[0], ["blk"]), third_diff(s, d), ["blk"])
 
 
-@query("snapshot_diff", f"SELECT coalesce(a.blk, b.blk) AS blk, a.v AS old, b.v AS new FROM {_SNAP.format(at=300)} a FULL JOIN {_SNAP.format(at=600)} b ON a.blk = b.blk WHERE a.v IS DISTINCT FROM b.v")
+@query("diff_reverse", f"SELECT blk, new AS old, old AS new FROM ({_DIFF})")
 def _(s, d):
-    return history.diff(history.snapshot(log(s, d), 300, ["blk"]), history.snapshot(log(s, d), 600, ["blk"]), ["blk"])
+    return history.reverse(third_diff(s, d))
 
 
-@query("diff_merge", "SELECT user_id AS blk, arg_min(o, event_id) AS old, arg_max(event_type, event_id) AS new FROM (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '') AS o FROM events) WHERE event_id > 300 AND event_id <= 600 GROUP BY user_id HAVING arg_min(o, event_id) IS DISTINCT FROM arg_max(event_type, event_id)")
+@query("diff_merge", f"SELECT user_id AS blk, arg_min(o, event_id) AS old, arg_max(event_type, event_id) AS new FROM (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), '') AS o FROM events) WHERE event_id > {_LO} AND event_id <= {_HI} GROUP BY user_id HAVING arg_min(o, event_id) IS DISTINCT FROM arg_max(event_type, event_id)")
 def _(s, d):
     from pyspark.sql import Window
 
+    lo, hi, _head = thirds(s, d)
     was = F.coalesce(F.lag("value").over(Window.partitionBy("blk").orderBy("rev")), F.lit(""))
-    deltas = log(s, d).withColumn("old", was).withColumnRenamed("value", "new").where("rev > 300 and rev <= 600")
+    deltas = log(s, d).withColumn("old", was).withColumnRenamed("value", "new").where((F.col("rev") > lo) & (F.col("rev") <= hi))
     return history.compose(deltas, ["blk"])
 
 
-@query("conflict_check", "SELECT DISTINCT user_id AS blk FROM events WHERE event_id > 900 AND user_id IN (SELECT user_id FROM events WHERE event_id < 50)")
+@query("get_or_none", f"SELECT c.c_custkey AS blk, s.v AS value FROM customer c LEFT JOIN {_SNAP.format(at=_HI)} s ON s.blk = c.c_custkey")
 def _(s, d):
-    return history.conflicts(log(s, d), log(s, d).where("rev < 50").select("file_id", "blk").distinct(), 900).select("blk")
+    return history.get_or_none(history.snapshot(log(s, d), thirds(s, d)[1], ["blk"]), table(s, d, "customer").select(F.col("c_custkey").alias("blk")), ["blk"])
 
 
-_PINS = "SELECT c.blk, coalesce(max(CASE WHEN r.rev <= {at} THEN r.rev END), 0) AS rev FROM (SELECT DISTINCT user_id AS blk FROM events WHERE event_id > {at} AND event_id <= 900) c JOIN (SELECT user_id AS blk, event_id AS rev FROM events) r USING (blk) GROUP BY c.blk"
+@query("conflict_check", f"SELECT DISTINCT user_id AS blk FROM events WHERE event_id > {_HI} AND user_id IN (SELECT user_id FROM events WHERE event_id <= {_LO} AND event_type = 'click')")
+def _(s, d):
+    lo, hi, _head = thirds(s, d)
+    return history.conflicts(log(s, d), log(s, d).where((F.col("rev") <= lo) & (F.col("value") == "click")).select("file_id", "blk").distinct(), hi).select("blk")
+
+
+_PINS = "SELECT c.blk, coalesce(max(CASE WHEN r.rev <= {at} THEN r.rev END), 0) AS rev FROM (SELECT DISTINCT user_id AS blk FROM events WHERE event_id > {at} AND event_id <= " + _HEAD + ") c JOIN (SELECT user_id AS blk, event_id AS rev FROM events) r USING (blk) GROUP BY c.blk"
+
+
+@query("watch_pins", _PINS.format(at=_HI))
+def _(s, d):
+    _lo, hi, head = thirds(s, d)
+    return history.pins(log(s, d), log(s, d), hi, head).select("blk", "rev")
 
 
-@query("watch_pins", _PINS.format(at=600))
+@query("watch_pin_update", f"SELECT coalesce(a.blk, b.blk) AS blk, b.rev AS rev FROM ({_PINS.format(at=_LO)}) a FULL JOIN ({_PINS.format(at=_HI)}) b ON a.blk = b.blk WHERE a.rev IS DISTINCT FROM b.rev")
 def _(s, d):
-    return history.pins(log(s, d), log(s, d), 600, 900).select("blk", "rev")
+    lo, hi, head = thirds(s, d)
+    at = lambda x: history.pins(log(s, d), log(s, d), x, head)
+    return history.pin_update(at(lo), at(hi)).select("blk", "rev")
 
 
-@query("watch_pin_update", f"SELECT coalesce(a.blk, b.blk) AS blk, b.rev AS rev FROM ({_PINS.format(at=600)}) a FULL JOIN ({_PINS.format(at=700)}) b ON a.blk = b.blk WHERE a.rev IS DISTINCT FROM b.rev")
+@query("pins_in_mapping", f"SELECT * FROM ({_PINS.format(at=_HI)}) WHERE blk >= 20 AND blk < 90")
 def _(s, d):
-    at = lambda x: history.pins(log(s, d), log(s, d), x, 900)
-    return history.pin_update(at(600), at(700)).select("blk", "rev")
+    _lo, hi, head = thirds(s, d)
+    return history.pins_in(history.pins(log(s, d), log(s, d), hi, head), 1, 20, 90).select("blk", "rev")
+
+
+@query("history_stats", f"SELECT CAST(1 AS BIGINT) AS files, count(DISTINCT user_id) AS blocks, count(*) AS changes, max(event_id) AS head, min(event_id) AS tail, (SELECT count(*) FROM ({_PINS.format(at=_HI)})) AS pinned FROM events")
+def _(s, d):
+    _lo, hi, head = thirds(s, d)
+    return history.stats(log(s, d), history.pins(log(s, d), log(s, d), hi, head))
+
+
+@query("tail_slice", f"SELECT user_id AS blk, event_id AS rev FROM events WHERE event_id > {_HI} AND event_id <= {_HEAD}")
+def _(s, d):
+    lo, hi, head = thirds(s, d)
+    return history.Tail(log(s, d), -1, head).forget(lo).slice(hi, head).select("blk", "rev")
+
+
+@query("tail_rev_at", f"SELECT blk, coalesce(max(CASE WHEN event_id > {_LO} AND event_id <= {_HI} THEN event_id END), {_LO}) AS rev, max(CASE WHEN event_id > {_LO} AND event_id <= {_HI} THEN 1 ELSE 0 END) = 1 AS exact FROM (SELECT user_id AS blk, event_id FROM events) GROUP BY blk")
+def _(s, d):
+    lo, hi, head = thirds(s, d)
+    return history.Tail(log(s, d), -1, head).track(log(s, d)).retained([lo], head).forget(lo).rev_at(hi).select("blk", "rev", "exact")
 
 
 def keys(s, d, flag):
@@ -251,7 +297,7 @@ def _(s, d):
 
 
 for _name, _op, _f in (("union", "UNION", intervals.union), ("intersection", "INTERSECT", intervals.intersection), ("difference", "EXCEPT", intervals.difference)):
-    query(f"ranges_{_name}", _islands(f"{_A} {_op} {_R}"))(lambda s, d, f=_f: f(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k"), 1000))
+    query(f"ranges_{_name}", _islands(f"{_A} {_op} {_R}"))(lambda s, d, f=_f: f(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k")))
 
 
 @query("ranges_overlap_join", f"SELECT a.lo, a.hi, b.lo AS lo2, b.hi AS hi2 FROM ({_islands(_A)}) a JOIN ({_islands(_R)}) b ON a.lo <= b.hi AND b.lo <= a.hi")
@@ -259,13 +305,4 @@ def _(s, d):
     return intervals.overlaps(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k"))
 
 
-@query("range_set", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'a'), (3, 4, 'x'), (5, 12, 'a')) t(lo, hi, value)")
-def _(s, d):
-    m = s.createDataFrame([(1, 6, "a"), (7, 12, "a")], "lo long, hi long, value string")
-    return intervals.set_range(m, 3, 4, "x")
-
-
-@query("auto_format", "SELECT user_id AS blk, CASE WHEN (user_id = 149 AND n > 20) OR (user_id = 150 AND n = 0) THEN CASE WHEN n < 35 AND n <> 70 THEN 'ZBlk1' ELSE 'ZBlk0' END WHEN n < 35 THEN 'ZBlk1' ELSE 'ZBlk0' END AS fmt FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")
-def _(s, d):
-    e = table(s, d, "events").groupBy(F.col("user_id").alias("blk")).agg(F.count("*").alias("n"))
-    return e.select("blk", auto_format(F.col("blk"), F.lit(149), F.col("n"), F.col("n"), F.col("n") > 20, F.col("n"), 70).alias("fmt"))
+from . import registry_more  # noqa: E402, F401  the rest of the queries

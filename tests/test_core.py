@@ -7,9 +7,10 @@ from lattica import registry
 from lattica.functions.blocks import ArrayRef, InvalidArrayRef, adler32, adler32_combine, changed_chunks, from_chunks, memdelta, stitch, to_chunks
 from lattica.functions.dtypes import spark_type
 from lattica.operators import history, intervals
-from lattica.operators.array import Array
+from lattica.operators.array import Array, Live
 from lattica.plans.index import major_axis, normalised, shape_after, shape_of, strides_of
-from lattica.sources.store import ConflictError, Store
+from lattica.sources import blockstore
+from lattica.sources.store import ConflictError, Store, UnknownArray
 
 SHAPE = (7, 6, 5)
 INDEXES = [np.s_[:], np.s_[2], np.s_[-1], np.s_[1:5], np.s_[5:1:-2], np.s_[:, 1:4, ::2], np.s_[..., -1], np.s_[2:2, 0:2], np.s_[None, -1, ...], np.s_[1:6:2, ::-1, 3], np.s_[3, 4, 0]]
@@ -46,13 +47,69 @@ def test_reductions_count_holes(spark):
     assert abs(r["var"] - x.var()) < 1e-12
 
 
-@pytest.mark.parametrize("n", [500, 200_005])
-def test_reduce_holes_covers_long_tables(spark, tmp_path, n):
+def test_variance_of_large_means(spark):
+    x = np.array([1e9 + 1, 1e9 + 3, 0])
+    got = Array.of(spark.createDataFrame([(0, 1e9 + 1), (1, 1e9 + 3)], "pos long, val double"), 2).reduce().first()
+    assert got["var"] == 1.0
+    holes = Array.of(spark.createDataFrame([(0, 1e9 + 1), (1, 1e9 + 3)], "pos long, val double"), 3).reduce().first()
+    assert holes["var"] == pytest.approx(x.var(), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [7, 500])
+def test_reduce_holes_covers_the_table(spark, tmp_path, n):
     spark.range(n).selectExpr("id as event_id", "cast(id + 1 as double) as value").write.parquet(f"{tmp_path}/events.parquet")
     (got,) = registry.QUERIES["reduce_holes"](spark, str(tmp_path)).collect()
-    assert (got.n, got.stored, got.sum, got.max) == (max(200_000, n), n, n * (n + 1) / 2, n)
-    assert got["mean"] == pytest.approx(n * (n + 1) / 2 / got.n)
-    assert got["min"] == (0 if n < got.n else 1)
+    assert (got.n, got.stored, got.sum, got.max, got.min) == (2 * n, n, n * (n + 1) / 2, n, 0)
+    assert got["var"] == pytest.approx(np.array([*range(1, n + 1), *[0] * n]).var(), abs=1e-3)
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_views_follow_numpy(spark, order):
+    shape = (4, 3, 5)
+    a = np.arange(60).reshape(shape, order=order)
+    lazy = Array.of(spark.range(60).selectExpr("id as pos", "id as val"), shape, order)
+    pairs = [(lazy[1:, ::-1][:, 1:, ::2], a[1:, ::-1][:, 1:, ::2]), (lazy[2][..., -1], a[2][..., -1]), (lazy.transpose(), a.T), (lazy[:, 1].swapaxes(0, 1)[::-2], a[:, 1].swapaxes(0, 1)[::-2]), (lazy[None, 1][0], a[None, 1][0])]
+    for mine, theirs in pairs:
+        assert mine.shape == theirs.shape and (mine.asarray() == theirs).all()
+    assert lazy.strides == a.strides and lazy.nbytes == a.nbytes and lazy[::2, ::-1].strides == a[::2, ::-1].strides
+    want = a.copy()
+    want[1:3, ::-1, ::2] = np.arange(3)[:, None]
+    column = Array.of(spark.range(3).selectExpr("id as pos", "id as val"), (3, 1))
+    assert (lazy[1:3, ::-1, ::2].assign(column)[:].asarray() == want).all()
+    with pytest.raises(ValueError, match="broadcast"):
+        lazy.assign(column.flat().resize(7))
+    ref = lazy[1:, ::-2].ref("r")
+    assert (lazy.deref(ref).asarray() == a[1:, ::-2]).all()
+
+
+def test_records_steps_and_bytes(spark):
+    a = np.arange(12, dtype="<i4").reshape(4, 3)
+    lazy = Array.of(spark.range(12).selectExpr("id as pos", "cast(id as int) as val"), (4, 3))
+    records = lazy[:3, :2].structured(["x", "y"])
+    assert records.asarray().tolist() == [(0, 1), (3, 4), (6, 7)] and records.field("y").asarray().tolist() == [1, 4, 7]
+    columns = Array.of(lazy.elems, (4, 3), "F").structured(list("abcd"))
+    assert columns.asarray().tolist() == [(0, 1, 2, 3), (4, 5, 6, 7), (8, 9, 10, 11)]
+    for bad in (lambda: lazy[:, ::-1].structured("abc"), lambda: lazy[:, ::2].structured("ab"), lambda: lazy.structured("a")):
+        with pytest.raises(ValueError):
+            bad()
+    assert (lazy.strided((3, 2, 2), (3, 1, -1), 2).asarray() == np.lib.stride_tricks.as_strided(a.ravel()[2:], (3, 2, 2), (12, 4, -4))).all()
+    with pytest.raises(ValueError):
+        lazy.strided((5, 2), (3, 1))
+    for dtype, offset in (("<i2", 0), ("<i8", 0), ("u1", 0), ("<f8", 8), ("<i2", 3 + 1), ("<u4", 0)):
+        assert (lazy.view(dtype, offset).asarray() == a.ravel().view("u1")[offset:].view(dtype)).all()
+    with pytest.raises(ValueError):
+        lazy.view("<i8", 3)
+    assert list(lazy[1]) == [3, 4, 5] and [part.shape for part in lazy] == [(3,)] * 4 and len(lazy) == 4
+    with pytest.raises(MemoryError):
+        lazy.asarray(most_bytes=10)
+    live = Live(lazy)
+    row, column = live[0], live[:, 0]
+    column.assign(9)
+    assert row.now().asarray().tolist() == [9, 1, 2]
+    assert [r.val for r in Array.of(lazy.elems, 12).cumsum(2).orderBy("out_pos").collect()] == a.ravel().cumsum().tolist()
+    assert sorted(map(tuple, lazy.differences(lazy[1].assign(7)).collect())) == [(3, 3, 7), (4, 4, 7), (5, 5, 7)]
+    grown = Array.of(spark.range(5).selectExpr("id as pos", "id as val"), (1, 5), "F").append(spark.range(2).selectExpr("id as pos", "id + 5 as val"), (1, 2))
+    assert grown[:].asarray().tolist() == [list(range(7))]
 
 
 def test_store(spark, tmp_path):
@@ -89,6 +146,68 @@ def test_store(spark, tmp_path):
         y.commit()
 
 
+def test_interleaved_commits(spark, tmp_path):
+    """Of two transactions over one block one is refused, at whichever step the other comes in."""
+    for steps in range(2):
+        store = Store(spark, f"file://{tmp_path}/i{steps}", blk_items=4)
+        t = store.begin()
+        t.create("a", 10, "int")
+        t.commit()
+        one, two = store.begin(), store.begin()
+        for txn, val in ((one, 1), (two, 2)):
+            txn.write("a", spark.createDataFrame([(val, val)], "pos long, val int"))
+        mine = one.attempts()
+        for _ in range(steps):
+            assert next(mine) is None
+        assert two.commit() == 2
+        with pytest.raises(ConflictError):
+            list(mine)
+        assert store.open("a")[:3].asarray().tolist() == [0, 0, 2]
+        other = store.begin()
+        other.write("a", spark.createDataFrame([(8, 8)], "pos long, val int"))
+        late = other.attempts()
+        assert next(late) is None
+        t = store.begin()
+        t.write("a", spark.createDataFrame([(0, 5)], "pos long, val int"))
+        assert t.commit() == 3
+        assert [rev for rev in late if rev] == [4]  # another block: it takes the next revision
+
+
+def test_store_log_views_and_shrinks(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", blk_items=4)
+    t = store.begin()
+    t.create("a", 10, "int")
+    t.write("a", spark.range(10).selectExpr("id as pos", "cast(id as int) as val"))
+    t.store_parts()
+    assert t.isdirty()
+    t.commit()
+    view = store.view()
+    t = store.begin()
+    t.resize("a", 3)
+    t.commit()
+    t = store.begin()
+    t.append("a", spark.createDataFrame([(1, 7)], "pos long, val int"), 2)
+    assert t.open("a").asarray().tolist() == [0, 1, 2, 0, 7]
+    t.commit()
+    assert store.open("a").asarray().tolist() == [0, 1, 2, 0, 7] and store.open("a", 1).asarray().tolist() == list(range(10))
+    t = store.begin()
+    t.assign("a", np.s_[::2], Array.of(spark.createDataFrame([(0, 9)], "pos long, val int"), 3))
+    t.commit()
+    assert store.open("a").asarray().tolist() == [9, 1, 0, 0, 0]
+    store.checkpoint()
+    again = Store(spark, f"file://{tmp_path}/s", blk_items=4)
+    assert again.commits() == store.commits() and again.wait(4, 1) == 4 and again.stat("a")["rev"] == 4
+    assert not [n for n in again.files.names(f"{again.root}/log") if n.endswith(".tmp")]
+    with pytest.raises(TimeoutError):
+        again.wait(5, 0.1)
+    with pytest.raises(UnknownArray):
+        again.open("b")
+    assert view.get("b") is None and view.open("a").shape == (10,)
+    assert {(r.blk, r.rev) for r in view.resync().collect()} == {(1, 3), (0, 4), (1, 4)} and view.open("a").shape == (5,)
+    with pytest.raises(ValueError):
+        view.resync(1)
+
+
 def test_watch_pins_of_the_golden_log(spark):
     log = {1: [2], 2: [2, 3, 4, 5], 3: [0, 2, 5], 4: [2, 4, 5], 5: [3, 5]}
     changes = spark.createDataFrame([(7, b, r) for r, bs in log.items() for b in bs], "file_id long, blk long, rev long")
@@ -100,17 +219,81 @@ def test_watch_pins_of_the_golden_log(spark):
     assert moved == {2: None, 5: 4}
 
 
-def test_intervals(spark):
-    m = spark.createDataFrame([(1, 6, "a")], "lo long, hi long, value string")
-    got = sorted(tuple(r) for r in intervals.set_range(m, 3, 4, "x", 2).select("lo", "hi", "value").collect())
-    assert got == [(1, 2, "a"), (3, 4, "x"), (5, 6, "a")]
-    a = spark.createDataFrame([(-1, -1), (1, 2), (5, 6), (9, 10), (15, 19), (100, 199)], "lo long, hi long")
-    b = spark.createDataFrame([(2, 16)], "lo long, hi long")
-    pairs = lambda df: sorted((r.lo, r.hi) for r in df.collect())
-    assert pairs(intervals.union(a, b, 4)) == [(-1, -1), (1, 19), (100, 199)]
-    assert pairs(intervals.difference(a, b, 4)) == [(-1, -1), (1, 1), (17, 19), (100, 199)]
-    assert pairs(intervals.intersection(a, b, 4)) == [(2, 2), (5, 6), (9, 10), (15, 16)]
-    assert intervals.covers(a, 100, 150) and not intervals.covers(a, 5, 7) and intervals.covers(a, 3, 2)
+def test_intervals(spark, monkeypatch):
+    """Against sets of keys, with many buckets, and at both ends of the longs."""
+    monkeypatch.setattr(intervals, "PER_BUCKET", 4)
+    rng = np.random.default_rng(1)
+    least, most = intervals.LEAST, intervals.MOST
+    table = lambda rows, valued=False: spark.createDataFrame(rows, "lo long, hi long" + ", value string" * valued)
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    a, b = ([(int(x), int(x) + int(n)) for x, n in zip(rng.integers(-50, 50, 14), rng.integers(-1, 7, 14), strict=True)] for _ in range(2))
+    keys = lambda rows: {k for lo, hi in rows for k in range(lo, hi + 1)}
+
+    def islands(found):
+        out = []
+        for k in sorted(found):
+            if out and out[-1][1] == k - 1:
+                out[-1] = (out[-1][0], k)
+            else:
+                out.append((k, k))
+        return out
+
+    assert got(intervals.union(table(a), table(b))) == islands(keys(a) | keys(b))
+    assert got(intervals.intersection(table(a), table(b))) == islands(keys(a) & keys(b))
+    assert got(intervals.difference(table(a), table(b))) == islands(keys(a) - keys(b))
+    assert got(intervals.overlaps(table(a), table(b))) == sorted((*x, *y) for x in a for y in b if x[0] <= x[1] and y[0] <= y[1] and x[0] <= y[1] and y[0] <= x[1])
+    whole = table([(least, most, "a")], True)
+    assert got(intervals.set_range(whole, 3, 4, "x")) == [(least, 2, "a"), (3, 4, "x"), (5, most, "a")]
+    assert got(intervals.set_range(whole, most, most, "x")) == [(least, most - 1, "a"), (most, most, "x")]
+    assert got(intervals.set_range(whole, least, 4, "a")) == [(least, most, "a")]
+    assert got(intervals.del_range(whole, least, most)) == [] and got(intervals.del_range(whole, most, most)) == [(least, most - 1, "a")]
+    assert intervals.covers(whole, least, most) and intervals.contains(whole, most) and not intervals.covers(table([(1, 6)]), 5, 7) and intervals.covers(table([]), 3, 2)
+    assert got(intervals.violations(table([(1, 2, "a"), (3, 4, "a"), (6, 7, "a"), (8, 9, "b"), (9, 9, "c")], True))) == [(1, 2, "a"), (3, 4, "a"), (8, 9, "b")]
+    assert intervals.equal(table([(1, 2), (3, 4)]), table([(1, 4)]))
+
+
+def test_history_refuses(spark):
+    deltas = spark.createDataFrame([(1, 1, "a", "b"), (1, 2, "c", "d")], "k long, rev long, old string, new string")
+    with pytest.raises(Exception, match="duplicate entries"):
+        history.compose(deltas, ["k"]).collect()
+    chain = spark.createDataFrame([(i, i + 1 if i < 70 else None) for i in range(71)], "oid long, parent long")
+    assert history.closure(spark.createDataFrame([(0,)], "oid long"), chain).count() == 71
+    with pytest.raises(ValueError, match="2 parents"):
+        history.closure(spark.createDataFrame([(1,)], "oid long"), spark.createDataFrame([(1, 2), (1, 3)], "oid long, parent long"))
+    tail = history.Tail(spark.createDataFrame([(1, 5, r) for r in range(1, 9)], "file_id long, blk long, rev long"), 0, 8).forget(3)
+    assert sorted(r.rev for r in tail.slice(4, 6).collect()) == [5, 6]
+    assert tail.retained([5], 1).tail == 5 and tail.retained([2], 1).tail == 3
+    for bad in (lambda: tail.slice(2, 6), lambda: tail.slice(6, 5), lambda: tail.slice(6, 9), lambda: tail.update(tail.changes, 7)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_block_files_in_both_formats(spark, tmp_path):
+    size = 4 * 4096
+    table = lambda blocks: spark.createDataFrame([(1, b, bytearray(x)) for b, x in blocks.items()], "file_id long, blk long, data binary")
+
+    def stored(files, blocks, rev):
+        new = blockstore.store(files.rows, table(blocks), rev, size, files.fmt)
+        new.write.parquet(f"{tmp_path}/{files.fmt}-{rev}")
+        rows = spark.read.parquet(f"{tmp_path}/{files.fmt}-{rev}")
+        return blockstore.BlockFiles(rows if rev == 1 else files.rows.unionByName(rows), size, files.fmt)
+
+    first = {0: b"\1" * 100, 1: b"\2" * size, 3: bytes(5000) + b"\3" * 10}
+    second = {0: b"\1" * 100 + bytes(4096) + b"\4", 3: b"", 4: b"\5" * 9000}
+    for fmt in ("ZBlk0", "ZBlk1", "auto"):
+        files = blockstore.BlockFiles(spark.createDataFrame([], blockstore.ROWS), size, fmt)
+        files = stored(stored(files, first, 1), second, 2)
+        for at, want in ((1, first), (2, {**first, **second})):
+            got = {r.blk: r for r in files.blocks(at).collect()}
+            assert {k: bytes(r.data) for k, r in got.items()} == {k: x.rstrip(b"\0") for k, x in want.items()}
+    assert {(r.blk, r.fmt) for r in got.values()} == {(0, "ZBlk1"), (1, "ZBlk0"), (3, "ZBlk0"), (4, "ZBlk0")}
+    whole = b"".join({**first, **second}.get(k, b"").ljust(size, b"\0") for k in range(5))
+    import zlib
+
+    assert adler32(files.blocks().select("blk", "data"), size, 2) == zlib.adler32(whole)
+    assert blockstore.read_bytes(files.rows, size, 1, size - 5, 20) == whole[size - 5 : size + 15] and len(blockstore.read_bytes(files.rows, size, 1, 5 * size - 3, 10)) == 3
+    with pytest.raises(ValueError, match="unknown block format"):
+        blockstore.BlockFiles(files.rows, size, "ZBlk2")
 
 
 def test_blocks(spark):
@@ -122,7 +305,7 @@ def test_blocks(spark):
     assert [(r.off, bytes(r.data)) for r in chunks.collect()] == [(4096, b"x" * 10)]
     assert bytes(from_chunks(chunks, size).first().data) == data.rstrip(b"\0")
     assert changed_chunks(chunks, chunks).isEmpty()
-    for bad in ([(-1, b"x")], [(0, b"xx"), (1, b"y")], [(9, b"xx")]):
+    for bad in ([(-1, b"x")], [(0, b"xx"), (1, b"y")], [(9, b"xx")], [(3, b""), (3, b"")]):
         with pytest.raises(ValueError):
             stitch(bad, 10)
     assert adler32(spark.createDataFrame([(0, bytearray(b""))], "blk long, data binary"), 2 << 20) == 0x01E00001
@@ -138,8 +321,9 @@ def test_references():
         assert (ref.deref(root.tobytes()) == view).all()
     with pytest.raises(InvalidArrayRef):
         ArrayRef("r", 0, 300, 0, (1,), (1,), "|u1").deref(root.tobytes())
-    with pytest.raises(InvalidArrayRef):
-        ArrayRef("r", 0, 10, 0, (11,), (1,), "|u1").deref(root.tobytes())
+    for bad in (ArrayRef("r", 0, 10, 0, (11,), (1,), "|u1"), ArrayRef("r", 0, 10, 10, (0,), (1,), "|u1")):
+        with pytest.raises(InvalidArrayRef):
+            bad.deref(root.tobytes())
 
 
 def test_dtypes():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.text import HEAD, kv_decode, kv_encode, revision_name, store_location, watch_request
 from lattica.sources.blockfile import BlockFile
-from lattica.streaming.watch import feed, pin_messages
+from lattica.streaming.watch import Link, fan_out, feed, link
 
 
 def test_watch_requests(spark):
@@ -62,19 +62,52 @@ def test_block_files(spark, tmp_path):
         opened()
 
 
+LOG = {1: [2], 2: [2, 3, 5], 3: [0, 2, 5], 4: [2, 5], 5: [3, 5]}
+STEPS = {0: {0: 0, 2: 0, 3: 0, 5: 0}, 1: {2: 1}, 2: {2: 2, 3: 2, 5: 2}, 3: {0: None, 2: 3, 5: 3}, 4: {2: None, 5: 4}, 5: {3: None, 5: None}}
+
+
+def test_a_watch_moves_along_the_golden_log():
+    at = Link()
+    seq = iter(range(1000))
+    say = lambda *event: list(at.event(next(seq), *event))
+    assert say("watch", 0, None, None)[0][4].startswith("file not yet known")
+    say("open", None, None, 0)
+    for rev, blks in LOG.items():
+        for blk in blks:
+            assert say("commit", None, blk, rev) == []
+    for step, want in STEPS.items():
+        said = say("watch", step, None, None)
+        assert {m[2]: m[3] for m in said if m[1] == "pin"} == want and said[-1][1] == "ok"
+    assert say("watch", 4, None, None)[0][4] == "going back in history is forbidden"
+    assert say("watch", 6, None, None) == []  # it waits for the head
+    assert [m[1] for m in say("commit", None, None, 6)] == ["ok"]
+    assert [(m[2], m[3]) for m in say("commit", None, 2, 7)] == [(2, 4)] and say("commit", None, 2, 8) == []
+    assert say("unwatch", None, None, None)[0][1] == "ok" and say("commit", None, 2, 9) == []
+    say("forget", None, None, 8)
+    assert "too far away back" in say("watch", 7, None, None)[0][4]
+    assert Link(at.saved()).saved() == at.saved()
+    late = Link()
+    for event in (("open", None, None, 3), ("commit", None, 1, 9), ("watch", 2, None, None), ("watch", 5, None, None)):
+        last = list(late.event(0, *event))
+        assert event[0] != "watch" or event[1] != 2 or "epoch" in last[0][4]
+    assert [(m[2], m[3]) for m in late.event(0, "commit", None, 1, 4)] == [(1, 4)]  # a late commit corrects a pin
+
+
 def test_pins_of_a_feed(spark, tmp_path):
-    """The golden log, one commit a file, seen by watchers of each revision while the head is at 5."""
-    log = {1: [2], 2: [2, 3, 4, 5], 3: [0, 2, 5], 4: [2, 4, 5], 5: [3, 5]}
-    for rev, blks in log.items():
+    """The golden log, one commit a file, for two watchers."""
+    (tmp_path / "feed").mkdir()
+    for rev, blks in LOG.items():
         spark.createDataFrame([(1, b, rev) for b in blks], "file_id long, blk long, rev long").coalesce(1).write.parquet(str(tmp_path / f"in{rev}"))
-        (tmp_path / "feed").mkdir(exist_ok=True)
         for p in (tmp_path / f"in{rev}").glob("part-*"):
             p.rename(tmp_path / "feed" / f"{rev}.parquet")
-    watchers = spark.createDataFrame([(f"w{at}", at) for at in range(1, 6)], "watcher string, at long")
-    tracked = feed(spark, str(tmp_path / "feed"), 100).where("blk <> 4").crossJoin(F.broadcast(watchers))
-    query = pin_messages(tracked).writeStream.format("memory").queryName("pins").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    watchers = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "watcher string, file_id long")
+    commits = fan_out(feed(spark, str(tmp_path / "feed"), 2), watchers)
+    asked = F.when((F.col("rev") == 1) & (F.col("blk") == 2), F.array(F.struct(F.lit("open").alias("kind"), F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("rev")), F.struct(F.lit("watch").alias("kind"), F.when(F.col("watcher") == "a", 1).otherwise(3).cast("long").alias("at"), F.lit(None).cast("long").alias("rev"))))
+    each = F.explode(F.concat(F.array(F.struct("kind", "at", "rev")), F.coalesce(asked, F.array())))
+    events = commits.select("watcher", "file_id", "seq", "blk", each.alias("e")).select("watcher", "file_id", "seq", "e.kind", "e.at", "blk", "e.rev")
+    query = link(events).writeStream.format("memory").queryName("pins").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
     got = {}
-    for r in spark.table("pins").collect():
-        got.setdefault(r.watcher, {})[r.blk] = r.pin
-    assert got == {"w1": {0: 0, 2: 1, 3: 0, 5: 0}, "w2": {0: 0, 2: 2, 3: 2, 5: 2}, "w3": {2: 3, 3: 2, 5: 3}, "w4": {3: 2, 5: 4}}
+    for r in spark.table("pins").where("say = 'pin'").collect():
+        got.setdefault(r.watcher, {})[r.blk] = r.rev
+    assert got == {"a": {0: 0, 2: 1, 3: 0, 5: 0}, "b": {2: 3, 3: 2, 5: 3}}
