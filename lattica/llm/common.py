@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Largest number of rows that is sent to every executor instead of being shuffled.
 BROADCAST_ROWS = 1_000_000
 
-_staged: list[tuple[object, str]] = []
+_staged: dict[str, object] = {}
 
 
 _kept: dict[object, object] = {}
@@ -62,21 +62,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a folder of our own, in local mode
+    only: on a cluster executors don't share one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = f"file://{tempfile.gettempdir()}/lattica-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop_staged() -> None:
-    for spark, path in _staged:
+    for path, spark in list(_staged.items()):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; its folder goes with the cluster's clean-up
             return
 
@@ -90,8 +96,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.parquet(path)
+    _staged[path] = spark
+    out = spark.read.parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete staged tables whose readers are all done."""
+    for df in frames:
+        path = getattr(df, "_staged_path", None)
+        if path in _staged:
+            _delete(_staged.pop(path), path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -112,7 +136,8 @@ def crc_of_id_col(name: str = "doc_id") -> F.Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Column, per_class: int, max_chars: int):
     """A bounded sample to fit a classifier on: at most ``per_class`` documents of either label,
-    lowest hash of the id first, each cut to ``max_chars``. Returns (rows, share of label 1 over
+    lowest hash of the id first, each cut to ``max_chars``. Null ids, labels other than 0 and 1, and
+    documents without a label are not learnt from. Returns (rows, share of label 1 over
     all labels that may be learnt from)."""
     usable = labels.where(train & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("_label")).distinct()
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
@@ -120,8 +145,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Col
     for value in (0, 1):
         part = usable.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    # at most 2 * per_class rows of two integers
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("_text")).join(F.broadcast(picked), "doc_id").limit(4 * per_class).collect()
+    # at most 2 * per_class rows of two integers; of texts that share an id one is learnt from
+    text = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("_text"))
+    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")).collect()
     total = sum(counts.values())
     rows = sorted(((r["doc_id"], r["_text"], r["_label"]) for r in rows), key=lambda r: (zlib.crc32(b"order" + str(r[0]).encode()), r[0], r[1]))
     return rows, (counts.get(1, 0) / total if total else 0.5)

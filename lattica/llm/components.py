@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unstage
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable, for every id on an edge. ``edges``: (a, b) longs.
 
     Each half round is a pre-aggregated minimum by node and a join back, so a node of very many
-    edges sends a row a task to the minimum, and its edges are only rewritten, never gathered.
+    edges sends a row a task to the minimum, and its edges are only rewritten, never gathered. Rounds go on until nothing moves; a round's
+    tables are deleted when the next one's are written.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if not state["n"] or state == seen:
             break
@@ -26,10 +27,10 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         # large star: neighbours above a node move to its least neighbour
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.where("u <> v").distinct(), "edges")
+        unstage(edges)
         # small star: neighbours below a node, and the node, move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = staged(small_star.where("u <> v").distinct(), "edges")
-    else:
-        raise RuntimeError("the components did not settle")
+        unstage(large)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

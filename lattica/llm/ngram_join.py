@@ -1,27 +1,29 @@
-"""N-gram Jaccard self-join with several global token orders, and the groups it makes.
+"""N-gram Jaccard self-join by filters under several global token orders, and the groups it makes.
 
 Sets of five-word shingles (64-bit hashes); two link when 100 * |x & y| >= 80 * |x | y|.
 
 1. One pass over the texts gives for each row the set's size and digest, its first token under
    ``len(ORDERS)`` random orders, and counts of hash cells (a sketch of fixed size) that make the
-   rarity order: by level of the cell, then by hash. Equal sets form one class (least doc_id).
+   rarity of a token. Equal sets form one class (least doc_id).
 2. Under each random order, classes of an equal first token are compared with one of them, that
    whose tokens are the commonest: near copies share the tokens of what they were copied from.
    What links is merged: a group of near copies, however large, collapses in work linear in it.
-3. Under the rarity order every class sends its prefix (|x| - ceil(0.8 |x|) + 1 tokens, which any
-   partner must share). Tokens whose classes all lie in one component already need no more work;
-   that is seen from a pre-aggregated least and greatest component. For the rest, pairs across
-   components are formed with length and positional bounds, never two of a token's largest component.
-4. A pair's bitmaps (a bit for each hash end, four or more bits a token) bound its overlap from
-   above: every bit that one side lacks is a token that it lacks. What the bound leaves must also
-   share a prefix token under each random order; then the sets are intersected.
+3. Partners must share a token in their prefixes (|x| - ceil(0.8 |x|) + 1 tokens) under every order
+   of all tokens. Every class sends its prefix under the first rarity order. Tokens whose classes
+   all lie in one component already need no more work; of tokens that the very same classes hold one
+   stands for all, so a pair is made once and not once a shared token. Pairs across components
+   are formed with length and positional bounds, never two of a token's largest component.
+4. The pairs that are left are held against the prefixes under further orders (rarest first too, but
+   with ties in another sequence): only pairs that share a prefix token under each go on. Then their
+   bitmaps (a bit for each hash end, four or more bits a token) bound the overlap from above: every
+   bit that one side lacks is a token that it lacks. Only then sets move and are intersected.
 5. Components of all links. Every link between different components is found, so none is lost.
 
 Rows that share a doc_id are one node of the graph. Texts move only to be compared.
 
 Defined cases: null text and text without words have an empty set, link with nothing and are their
 own component. A null doc_id links with nothing and has a null component. An empty table gives an
-empty result.
+empty result. doc_id is of an integer type; any other is refused.
 """
 
 from __future__ import annotations
@@ -34,18 +36,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import lean, small, staged, table
+from .common import fresh, lean, small, staged, table, unstage
 from .components import components
 
 SHINGLE = 5
 PERCENT = 80
 #: Odd multipliers: h * m modulo 2**64 orders the tokens anew.
+#: The first make stars; the others also break ties of rarity.
 ORDERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: The rarity sketch has 2**CELL_BITS cells in chunks of 2**CHUNK_BITS.
 CELL_BITS, CHUNK_BITS = 24, 16
 #: Words of the folded bitmap that the pair join itself tests.
-WORDS = 8
+WORDS = 32
+#: Orders, after the first, under which candidates must meet.
+FURTHER = (1, 2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,9 +82,11 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def signature(bits: bytes) -> list[int]:
-    """A bitmap folded to ``WORDS`` words."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.int64).reshape(-1, WORDS), axis=0).tolist()
+def signature(s: np.ndarray) -> list[int]:
+    """A bitmap of ``WORDS`` words."""
+    bits = np.zeros(64 * WORDS, bool)
+    bits[(s & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -100,8 +108,8 @@ def signed(x: np.ndarray | int) -> np.ndarray:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds. kind 0: a document's id, set size, digest, first tokens, bitmap. kind 1: a
-    task's counts of one chunk of cells (n: the chunk; bits: the counts, compressed)."""
+    """Rows of two kinds. kind 0: a document's id, set size, digest, first tokens. kind 1: a task's
+    counts of one chunk of cells (n: the chunk; cells: the counts, compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.uint32)
@@ -117,28 +125,26 @@ def survey(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                n, d1, d2, firsts, bits, sig = [], [], [], [], [], []
+                n, d1, d2, firsts = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text)
                     d = xxhash.xxh3_128_digest(s.tobytes())
                     n.append(len(s)), d1.append(int.from_bytes(d[:8], "little", signed=True)), d2.append(int.from_bytes(d[8:], "little", signed=True))
                     firsts.append(signed([(s * m).min() for m in ORDERS]).tolist() if len(s) else [])
-                    bits.append(bitmap(s) if len(s) else b"")
-                    sig.append(signature(bits[-1]) if len(s) else [])
                     waiting.append(s)
                     size += len(s)
                     if size > 500_000:
                         count()
                 k = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.nulls(k, pa.binary())], names)
         count()
         for c in range(1 << (CELL_BITS - CHUNK_BITS)):
             own = cells[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
 
-    names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "bits", "sig"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(lean, run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, bits binary, sig array<long>")
+    names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "cells"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(lean, run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, cells binary")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -155,7 +161,7 @@ def rarity(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["n", "cells"])
 
     parts = 1 << (CELL_BITS - CHUNK_BITS)
-    summed = counts.select("n", F.col("bits").alias("cells")).repartition(min(parts, 64), "n").transform(lean, add, "n long, cells binary")
+    summed = counts.select("n", "cells").repartition(min(parts, 64), "n").transform(lean, add, "n long, cells binary")
     out = np.zeros(1 << CELL_BITS, np.uint32)
     for r in summed.toLocalIterator():  # one row a chunk
         out[r["n"] << CHUNK_BITS : (r["n"] + 1) << CHUNK_BITS] = np.frombuffer(zlib.decompress(r["cells"]), np.uint32)
@@ -163,10 +169,12 @@ def rarity(counts: DataFrame) -> np.ndarray:
     return np.where(out <= common, 0, 1 + np.log2(np.maximum(out, 1) / common)).astype(np.uint8)
 
 
-def ranks(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The tokens of a set in rarity order, each as level and hash in one number."""
+def ranks(s: np.ndarray, levels: np.ndarray, order: int = 0) -> np.ndarray:
+    """The tokens of a set in a rarity order, each as level and hash in one number. Orders differ in
+    how they break ties, but for the first by an odd multiplier of ``ORDERS``."""
     level = levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.sort((level << np.uint64(58)) | (s >> np.uint64(6)))
+    tie = s * ORDERS[order] if order else s
+    return np.sort((level << np.uint64(58)) | (tie >> np.uint64(6)))
 
 
 def commonness(docs: DataFrame, levels_shared) -> DataFrame:
@@ -185,38 +193,36 @@ def commonness(docs: DataFrame, levels_shared) -> DataFrame:
 
 
 def postings(docs: DataFrame, levels_shared) -> DataFrame:
-    """(token, doc_id, comp, n, pos) of each prefix token. ``docs``: (doc_id, comp, text)."""
+    """(token, doc_id, comp, n, pos, sig) of each prefix token, and a row a document that has, in
+    place of a token, its folded bitmap. ``docs``: (doc_id, comp, text)."""
+    names = ["token", "doc_id", "comp", "n", "pos", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(levels_shared.value, np.uint8)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                tokens, sizes = [], []
+                tokens, sizes, sigs = [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingles(text)
+                    sigs.append(signature(s))
                     tokens.append(ranks(s, levels)[: prefix_size(len(s))] if len(s) else s)
                     sizes.append(len(s))
                 lens = np.array([len(t) for t in tokens])
                 row = np.repeat(np.arange(len(tokens)), lens)
                 pos = np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), part.column(0).take(at), part.column(1).take(at), pa.array(np.array(sizes, np.int32)[row]), pa.array(pos.astype(np.int32))], ["token", "doc_id", "comp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), part.column(0).take(at), part.column(1).take(at), pa.array(np.array(sizes, np.int32)[row]), pa.array(pos.astype(np.int32)), pa.nulls(len(row), pa.list_(pa.int64()))], names)
+                k = part.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.array(sigs, pa.list_(pa.int64()))], names)
 
-    return docs.select("doc_id", "comp", "text").transform(lean, run, "token long, doc_id long, comp long, n int, pos int")
+    return docs.select("doc_id", "comp", "text").transform(lean, run, "token long, doc_id long, comp long, n int, pos int, sig array<long>")
 
 
 def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Length bound, a shared prefix token under every order, then the exact intersection."""
+    """The exact intersection, after the length bound."""
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
-    for m in ORDERS[:2]:
-        px, py = x * m, y * m
-        kx, ky = prefix_size(len(x)), prefix_size(len(y))
-        px = np.partition(px, kx - 1)[:kx] if kx < len(px) else px
-        py = np.partition(py, ky - 1)[:ky] if ky < len(py) else py
-        if not len(np.intersect1d(px, py, assume_unique=True)):
-            return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -248,11 +254,31 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return left.join(right, F.col("a") == F.col("_a")).select("a", "b", "set_a", "set_b").transform(lean, run, "a long, b long")
 
 
-def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b; staged) that their bitmaps don't rule out, staged."""
-    sides = classes.select("cid", "n", "bits")
-    left = sides.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")).join(small(pairs), "b")
-    right = sides.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+def sides(docs: DataFrame, levels_shared) -> DataFrame:
+    """(node, n, bits, prefixes): what pairs are held against before sets move; a prefix for each
+    further order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(levels_shared.value, np.uint8)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                prefixes = [[signed(ranks(s, levels, o)[: prefix_size(len(s))]) if len(s) else [] for o in FURTHER] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), *(pa.array([p[i] for p in prefixes], pa.list_(pa.int64())) for i in range(len(FURTHER)))],
+                    ["node", "n", "bits", *(f"p{o}" for o in FURTHER)],
+                )
+
+    return docs.select("doc_id", "text").transform(lean, run, "node long, n int, bits binary" + "".join(f", p{o} array<long>" for o in FURTHER))
+
+
+def screened(docs: DataFrame, pairs: DataFrame, levels_shared) -> DataFrame:
+    """Those of ``pairs`` (a, b; staged) whose prefixes meet under each further order and that their
+    bitmaps don't rule out, staged. Only the sides of pairs are read for this."""
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "nodes")
+    seen = staged(sides(docs.join(small(nodes), F.col("doc_id") == F.col("_node")), levels_shared), "sides")
+    side = lambda x: seen.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in seen.columns[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,61 +287,88 @@ def screened(classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok = [may_link(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return staged(left.join(right, "a").select("a", "b", "na", "ba", "nb", "bb").transform(lean, run, "a long, b long"), "screened")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    for o in FURTHER:
+        both = both.where(F.arrays_overlap(f"p{o}a", f"p{o}b"))
+    out = staged(both.select("a", "b", "na", "bitsa", "nb", "bitsb").transform(lean, run, "a long, b long").distinct(), "screened")
+    unstage(nodes, seen)
+    return out
 
 
-def candidates(marked: DataFrame, classes: DataFrame) -> DataFrame:
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """The postings of tokens that several components hold, staged; of tokens that the very same
+    classes hold, of the least only. Holders are told apart by count, xor and two sums of hashes."""
+    mixed = staged(posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "mixed")
+    met = staged(posted.join(small(mixed), "token"), "met")
+    h = F.xxhash64("doc_id")
+    held = met.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x"), F.sum(F.shiftrightunsigned(h, 32)).alias("s1"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("s2"))
+    alone = staged(held.groupBy("c", "x", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "alone")
+    out = staged(met.join(small(alone), "token"), "marked")
+    unstage(mixed, met, alone)
+    return out
+
+
+def candidates(marked: DataFrame, sigs: DataFrame) -> DataFrame:
     """(a, b) pairs of different components that share a prefix token and pass the length,
-    positional and folded-bitmap bounds. ``marked``: postings of tokens that several components
-    share, staged."""
+    positional and folded-bitmap bounds, staged. ``marked``: as of ``shared_postings``; ``sigs``:
+    (doc_id, sig)."""
     size = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = size.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"))
-    words = classes.select(F.col("cid").alias("doc_id"), *(F.col("sig")[i].alias(f"s{i}") for i in range(WORDS)))
-    own = marked.join(largest, "token").join(small(words, 300_000), "doc_id")
-    side = lambda x: [F.col("doc_id").alias(x), F.col("comp").alias("c" + x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), *(F.col(f"s{i}").alias(f"{x}{i}") for i in range(WORDS))]
+    largest = staged(size.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("big")), "largest")
+    members = staged(marked.select(F.col("doc_id").alias("_member")).distinct(), "members")
+    words = staged(sigs.join(small(members), F.col("doc_id") == F.col("_member")).select(F.col("doc_id").alias("_member"), "sig"), "words")
+    # staged, so that the skew join can split the postings of a hot token
+    own = staged(marked.join(small(largest), "token").join(small(words, 50_000), F.col("doc_id") == F.col("_member")).drop("_member"), "own")
+    side = lambda x: [F.col("doc_id").alias(x), F.col("comp").alias("c" + x), F.col("n").alias("n" + x), F.col("pos").alias("p" + x), F.col("sig").alias("s" + x)]
     a = own.where("comp <> big").select("token", *side("a"))
     b = own.select("token", *side("b"), (F.col("comp") == F.col("big")).alias("inbig"))
     need = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT}D)"
-    lacks = lambda x, y: " + ".join(f"bit_count({x}{i} & ~{y}{i})" for i in range(WORDS))
+    lacks = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x & ~y)), 0, (sum, x) -> sum + x)"
     bound = (
         f"ca <> cb and (inbig or a < b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
         f" and 1 + least(na - pa - 1, nb - pb - 1) >= {need} - least(pa, pb)"
-        f" and na - ({lacks('a', 'b')}) >= {need} and nb - ({lacks('b', 'a')}) >= {need}"
+        f" and na - {lacks('sa', 'sb')} >= {need} and nb - {lacks('sb', 'sa')} >= {need}"
     )
-    return a.join(b, "token").where(bound).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
+    pairs = staged(a.join(b, "token").where(bound).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "pairs")
+    unstage(largest, members, words, own)
+    return pairs
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType
+    if not isinstance(id_type, IntegralType):
+        raise TypeError(f"doc_id must be of an integer type, not {id_type.simpleString()}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = staged(survey(docs), "survey")
-    slim = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "firsts", "bits", "sig")
+    slim = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "firsts")
     known = slim.where("doc_id is not null and n > 0")
-    classes = staged(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.first("firsts").alias("firsts"), F.first("bits").alias("bits"), F.first("sig").alias("sig")), "classes")
+    classes = staged(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cid"), F.first("firsts").alias("firsts")), "classes")
 
     # 2: stars around the commonest class of an equal first token
     levels = spark.sparkContext.broadcast(rarity(both.where("kind = 1")).tobytes())
     keys = classes.select("cid", "n", F.posexplode("firsts").alias("o", "key"))
     shared = keys.groupBy("o", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    keys = staged(keys.join(shared, ["o", "key"]), "keys")
-    common = staged(commonness(docs.join(small(staged(keys.select(F.col("cid").alias("_cid")).distinct(), "members")), F.col("doc_id") == F.col("_cid")), levels), "common")
+    shared_keys = staged(keys.join(small(staged(shared, "shared")), ["o", "key"]), "keys")
+    members = staged(shared_keys.select(F.col("cid").alias("_cid")).distinct(), "members")
+    common = staged(commonness(docs.join(small(members), F.col("doc_id") == F.col("_cid")), levels), "common")
     common = common.groupBy("cid").agg(F.max("common").alias("common"))  # rows that share an id
-    keys = keys.join(small(common), "cid")
-    hubs = keys.groupBy("o", "key").agg(F.min(F.struct((-F.col("common")).alias("rare"), "cid", "n")).alias("hub"))
-    star = keys.join(hubs, ["o", "key"]).where(f"cid <> hub.cid and 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)")
+    # staged with its hubs, so that neither the aggregate nor the join gathers a hot key in one task
+    keys = staged(shared_keys.join(small(common), "cid"), "ranked")
+    hubs = staged(keys.groupBy("o", "key").agg(F.min(F.struct((-F.col("common")).alias("rare"), "cid", "n")).alias("hub")), "hubs")
+    star = keys.join(small(hubs), ["o", "key"]).where(f"cid <> hub.cid and 100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)")
     star = staged(star.select(F.col("hub.cid").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
-    near = staged(components(verified(docs, screened(classes, star))), "near")
+    near = staged(components(verified(docs, screened(docs, star, levels))), "near")
+    unstage(shared_keys, members, keys, hubs, star)
 
-    # 3: pairs across those components
+    # 3, 4: pairs across those components
     labelled = classes.select(F.col("cid").alias("doc_id")).distinct().join(small(near), F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("comp"))
     labelled = staged(labelled, "labelled")
     posted = staged(postings(docs.join(small(labelled), "doc_id"), levels), "postings")
-    mixed = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    marked = staged(posted.join(small(staged(mixed, "mixed")), "token"), "marked")
-    pairs = staged(candidates(marked, classes), "pairs")
-    found = verified(docs, screened(classes, pairs))
+    marked = shared_postings(posted.where("token is not null").drop("sig"))
+    pairs = candidates(marked, posted.where("token is null").select("doc_id", "sig"))
+    unstage(posted, marked)
+    found = verified(docs, screened(docs, pairs, levels))
 
     # 5: links between components
     comp = lambda side: labelled.select(F.col("doc_id").alias(side), F.col("comp").alias(f"c{side}"))
@@ -346,13 +399,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, with one document of each group: that of the least
     id. Rows without words or id stay; of rows that repeat an id one stays."""
     found = staged(groups(docs), "groups")
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(staged(gone, "gone")), docs["doc_id"] == F.col("_gone"), "left_anti")
-    twice = staged(found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
-    if twice.isEmpty():
+    gone, twice = fresh(docs, "_gone"), fresh(docs, "_twice")
+    out = staged(found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    kept = docs.join(small(out), docs["doc_id"] == out[gone], "left_anti")
+    several = staged(found.where("n_shingles > 0 and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice)), "twice")
+    if several.isEmpty():
         return kept
-    repeated = kept.join(twice, kept["doc_id"] == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(repeated)
+    repeated = kept.join(several, kept["doc_id"] == several[twice], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(several, kept["doc_id"] == several[twice], "left_anti").unionByName(repeated)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
