@@ -1,17 +1,19 @@
 """Toxicity by weak supervision.
 
-Voters look at a text: one for each word of a fixed lexicon as a word, one for it inside a longer
-word, some patterns, and words and beginnings of words mined from labelled rows. A generative label model (two latent
-classes, every voter with its own rate of firing in each) is estimated by expectation maximisation,
-started from the labels that may be learnt from; pairs of voters that still fire together within a
-class count as correlated, and each voter's evidence is divided by the size of its correlated
-company. A linear classifier over the voters and the mined words is then fitted to the posteriors.
+Voters look at a text: one for each word of a lexicon as a word, one for it inside a longer word, some
+patterns, and words and beginnings of words mined from labelled rows. A voter fires or abstains. A
+generative label model (two latent classes, every voter with its own rate of firing in each, and the
+rate at which all abstain) is estimated by expectation maximisation. Labels that may be learnt from
+choose the mined words, set the share of the classes and start the estimate; from then on it follows
+the votes alone. Voters that still fire together within a class count as correlated, and each one's
+evidence is divided by the size of its correlated company. A linear classifier over the voters is then
+fitted to the posteriors.
 
 Fitted on at most ``PER_CLASS`` labelled rows of either label and ``SAMPLE_CHARS`` characters of
 each (a bound for fitting only; every text is scored whole).
 
 Defined cases: null counts as the empty text. Without labels of both kinds the lexicon alone votes.
-Repeated rows keep one row each; conflicting labels are all used.
+Repeated rows keep one row each; conflicting labels are all used. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,12 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: The query's contract: predicted is 1 from this score.
 ACCEPT = 0.7
 
-#: Insults that serve as voters.
+#: Correlation within a class from which voters count as company.
+COMPANY = 0.5
+#: Weight of a lexicon word, and bias, before anything is learnt.
+UNLEARNT = 4.0, -2.0
+
+#: Insults that serve as voters.
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "clown", "loser", "pathetic", "worthless", "disgusting", "imbecile", "dumbass", "bastard", "retard", "filth", "vermin", "bitch", "asshole", "shithead", "fuck", "shut up", "kill yourself", "go to hell", "hate you")
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -66,23 +73,24 @@ def features(text: str | None, mined: frozenset[str]) -> set[str]:
     return out
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, share: float, rounds: int = 30) -> np.ndarray:
+def label_model(votes: np.ndarray, y: np.ndarray, share: float, rounds: int = 100) -> np.ndarray:
     """Posterior of class 1 for each row of the 0/1 matrix of votes. ``y``: labels, which start the
-    estimate and keep a constant pull of one vote."""
-    n, k = votes.shape
-    post = np.clip(y.astype(float), 0.02, 0.98)
-    labelled = np.clip(y.astype(float), 0.05, 0.95)
+    estimate; ``share``: of class 1."""
+    n = len(votes)
+    post = np.clip(y.astype(float), 0.05, 0.95)
+    some = votes.any(1)
+    prior = np.log(share / (1 - share))
+    rate = lambda fired, weight: np.clip((fired + 0.1) / (weight + 1), 1e-4, 1 - 1e-4)
     for _ in range(rounds):
         w1, w0 = post.sum(), n - post.sum()
-        p1 = np.clip((votes.T @ post + 0.1) / (w1 + 1), 1e-4, 1 - 1e-4)
-        p0 = np.clip((votes.T @ (1 - post) + 0.01) / (w0 + 1), 1e-4, 1 - 1e-4)
+        p1, p0 = rate(votes.T @ post, w1), rate(votes.T @ (1 - post), w0)
+        silent = np.log(rate(post @ ~some, w1) / rate((1 - post) @ ~some, w0))
         # what is left of the votes after the class explains them
         rest = votes - (np.outer(post, p1) + np.outer(1 - post, p0))
         sd = np.sqrt((rest**2).mean(0)) + 1e-9
-        corr = (rest.T @ rest) / n / np.outer(sd, sd)
-        company = np.maximum(1.0, np.where(np.abs(corr) > 0.3, np.abs(corr), 0).sum(0))
-        fire, silent = np.log(p1 / p0) / company, np.log((1 - p1) / (1 - p0)) / company
-        logit = votes @ fire + (1 - votes) @ silent + np.log(labelled / (1 - labelled)) + np.log(share / (1 - share))
+        corr = np.abs(rest.T @ rest) / n / np.outer(sd, sd)
+        company = np.maximum(1.0, np.where(corr > COMPANY, corr, 0).sum(0))
+        logit = prior + np.where(some, votes @ (np.log(p1 / p0) / company), silent)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - post).max() < 1e-5:
             return new
@@ -135,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows, share = labelled_sample(docs, labels, "toxic", crc_of_id_col() % 3 != 1, PER_CLASS, SAMPLE_CHARS)
     share = min(max(share, 0.01), 0.99)
     if {y for _, _, y in rows} != {0, 1}:
-        return Model({"in:" + t: 4.0 for t in LEXICON}, -2.0, frozenset())
+        return Model({"is:" + t: UNLEARNT[0] for t in LEXICON}, UNLEARNT[1], frozenset())
     mined = mine(rows)
     found = [features(t, mined) for _, t, _ in rows]
     names = sorted(set().union(*found) | {"in:" + t for t in LEXICON} | {"is:" + t for t in LEXICON})
@@ -149,9 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weight = np.where(y == 1, share / sampled, (1 - share) / (1 - sampled))
     w, bias = linear(x, post, weight)
     weights = dict(zip(names, w.tolist(), strict=True))
-    for t in LEXICON:  # lexicon words that the sample does not have vote like the average of those it has
+    # a lexicon word that the sample doesn't have votes like the average of those it has, as a word only
+    seen = [t for t in LEXICON if x[:, at["is:" + t]].any()]
+    usual = float(np.mean([weights["is:" + t] + weights["in:" + t] for t in seen])) if seen else UNLEARNT[0] - UNLEARNT[1] - bias
+    for t in LEXICON:
         if not x[:, at["in:" + t]].any():
-            weights["in:" + t] = 6.0
+            weights["is:" + t] = usual
     return Model({f: v for f, v in weights.items() if v}, bias, mined)
 
 
