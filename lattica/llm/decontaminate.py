@@ -11,7 +11,8 @@ broadcast); a larger benchmark takes one pass over the same rows for each slice,
 what earlier passes found. Documents are never shuffled.
 
 Defined cases: null text has no words and no hits; an item without words is ignored; a null item_id
-is ignored too. Repeated documents keep one row each; repeated items count by distinct item_id.
+is ignored too. Repeated documents keep one row each; repeated items count by distinct item_id. An
+empty table of documents gives an empty result, an empty benchmark no hits.
 """
 
 from __future__ import annotations
@@ -101,20 +102,20 @@ def item_windows(items: list[tuple[object, str]]) -> dict[tuple[bytes, ...], set
 
 def count_shingles(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
     """How often each shingle of the index occurs, over all documents: at most a row a task and key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, members = Hashes(), Filter(keys)
         total = np.zeros(len(keys), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                h = hashes.of(words_of(text))
-                if len(h) >= SHINGLE:
-                    total += np.bincount(members.find(runs(h, SHINGLE))[1], minlength=len(keys)) if len(keys) else 0
+            met = [members.find(runs(hashes.of(words_of(text.as_py())), SHINGLE))[1] for text in batch.column(0) if text.is_valid]
+            at, n = np.unique(np.concatenate([np.zeros(0, np.int64), *met]), return_counts=True)  # once a batch, however many keys
+            total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["k", "n"])
 
     out = np.zeros(len(keys), np.int64)
-    for r in docs.select("text").transform(lean, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most a row a key
-        out[r["k"]] = r["n"]
+    got = docs.select("text").transform(lean, run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # at most a row a key
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out
 
 

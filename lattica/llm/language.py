@@ -15,7 +15,8 @@ bound for fitting only; every text is scored whole). Every value of lang is lear
 letter of its sample.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; so is every text if there
-is nothing to learn from. Ties go to the language first by name. Repeated rows keep one row each.
+is nothing to learn from. Ties go to the language first by name. Repeated rows keep one row each. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ made only for windows that hold a shingle of the template, which one look at eac
 text finds. Nothing is shuffled.
 
 Defined cases: null text matches nothing. Repeated rows keep one row each. Ties of containment keep
-every template. Very long texts are scanned whole.
+every template. Very long texts are scanned whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ each (a bound for fitting only; every text is scored whole).
 
 Defined cases: null counts as the empty text, whose sizes are 0 and shortness 1. Without labels of both kinds every score
 is the share of label 1. Repeated rows keep one row each; conflicting labels are all used.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ where B[c] has the states entered by c and L[c] the states that a ``*`` lets sta
 an Arrow batch step together. Nothing is shuffled, so hot hosts cost nothing extra.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, and matches no rule; the
-verdict is then ``default``. Very long URLs are read to their end. Repeated rows give repeated rows.
+verdict is then ``default``. Very long URLs are read to their end. Repeated rows give repeated rows. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
