@@ -38,6 +38,9 @@ END_ID = 0
 GAP = 16
 #: Words whose ids a worker keeps.
 CACHE = 1_000_000
+#: Words that are looked up together.
+SLICE = 16_384
+_END = np.array([END_ID], "<u4").tobytes()
 
 
 #: Letters (the same after NFC, and of one lower case everywhere) and ASCII marks behind them, but no
@@ -54,14 +57,17 @@ def words_of(text: str | None) -> list[str]:
 class WordTokens(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes. The tokenizer drops white space and
     never joins across it, so a text's ids are those of its blank-separated words in order. Words
-    that are new to a batch are encoded together: a run of letters ends with a word-end id, which
-    shows where the joined ids are to be cut."""
+    that are new are encoded together: a run of letters ends with a word-end id, which shows where
+    the joined ids are to be cut.
+
+    Words, the runs of letters in them and the marks behind these number at most ``most`` (three for
+    each word of a slice at least): a slice of words that might not fit empties the table first."""
 
     def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most = most
+        self.most = max(most, 3 * SLICE + 1)
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -76,28 +82,53 @@ class WordTokens(dict):
         return ids
 
     def learn(self, words: Iterable[str]) -> None:
-        new = set(words).difference(self)
-        if len(self) + len(new) > self.most:
+        """Makes room for a slice of words, and encodes those that need no look of their own."""
+        words = set(words)
+        new = {w for w in words if w not in self}
+        if len(self) + len(self.marks) + 3 * len(new) > self.most:
             self.clear()
             self.marks = {"": b""}
+            new = words
         parts = [(w, w.rstrip(_MARKS)) for w in new if _SIMPLE(w)]
-        cores = list({core.lower() for _, core in parts}.difference(self))
-        for lo in range(0, len(cores), 20_000):
-            part = cores[lo : lo + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        cores = [core for core in {core.lower() for _, core in parts} if core not in self]
+        if cores:
+            ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(cuts) != len(part):
-                continue  # a vocabulary without word ends: encoded one by one when asked for
-            raw, ends = ids.tobytes(), cuts.tolist()
-            self.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            if len(cuts) == len(cores):  # a vocabulary without word ends: encoded one by one when asked for
+                raw, ends = ids.tobytes(), cuts.tolist()
+                self.update(zip(cores, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         for w, core in parts:
             mark = w[len(core) :]
             if mark not in self.marks:
                 self.marks[mark] = self.encoded(mark)
             self[w] = self[core.lower()] + self.marks[mark]
 
-    def ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words)) + np.array([END_ID], "<u4").tobytes()
+    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text and ``END_ID``. Whole texts are looked up together while their words
+        make no more than a slice; longer texts are taken slice by slice."""
+        waiting: list[list[str]] = []
+        size = 0
+        for text in texts:
+            words = words_of(text)
+            if waiting and size + len(words) > SLICE:
+                yield from self._looked_up(waiting)
+                waiting, size = [], 0
+            waiting.append(words)
+            size += len(words)
+        yield from self._looked_up(waiting)
+
+    def _looked_up(self, texts: list[list[str]]) -> Iterator[bytes]:
+        if len(texts) > 1 or not texts:
+            self.learn(chain.from_iterable(texts))
+            for words in texts:
+                yield b"".join(map(self.__getitem__, words)) + _END
+            return
+        parts = []
+        for lo in range(0, len(texts[0]), SLICE):
+            part = texts[0][lo : lo + SLICE]
+            self.learn(part)
+            parts.append(b"".join(map(self.__getitem__, part)))
+        yield b"".join(parts) + _END
 
 
 def tokens_of(path: str, most: int = CACHE) -> WordTokens:
@@ -115,10 +146,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, id_col: str = "do
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
-                split = [words_of(text) for text in part.column(1).to_pylist()]
-                tokens.learn(chain.from_iterable(split))
-                for i, split_words in enumerate(split):
-                    ids = tokens.ids(split_words)
+                for i, ids in enumerate(tokens.ids(text.as_py() for text in part.column(1))):
                     for k, at in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[at : at + 4 * size]
                         row.append(i), piece.append(k), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
