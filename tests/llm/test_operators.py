@@ -79,6 +79,27 @@ def test_ngram_join_keeps_one_of_each_group(spark, rows):
     assert ids.count(None) == 1
 
 
+def test_ngram_join_keeps_one_beside_clashing_columns(spark, rows):
+    docs = table(spark, rows).withColumnsRenamed({"comp": "_GONE", "token": "_twice", "score": "component_id"})
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert got.count() == len(set(components(rows)[0].values())) + 1
+    with pytest.raises(TypeError, match="integer"):
+        ngram_join.groups(docs.withColumn("doc_id", docs["doc_id"].cast("string")))
+
+
+def test_components_of_a_long_chain_and_a_large_star(spark):
+    from lattica.llm.components import components as connected
+
+    rng = random.Random(13)
+    names = list(range(3000))
+    rng.shuffle(names)
+    chain = list(zip(names[:300], names[1:301], strict=True))
+    star = [(names[301], x) for x in names[302:2000]]
+    got = {r.id: r.component for r in connected(spark.createDataFrame([*chain, *star, (5000, 5000)], "a long, b long")).collect()}
+    assert got == {x: min(part) for part in (names[:301], names[301:2000]) for x in part}
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = random.Random(5)
     for _ in range(300):
@@ -88,6 +109,10 @@ def test_bitmaps_never_rule_out_a_link():
         truth = 100 * len(x & y) >= 80 * len(x | y)
         assert ngram_join.links(a, b) == truth
         if truth:
+            levels = ngram_join.np.array([rng.randrange(4) for _ in range(1 << 10)], ngram_join.np.uint8).repeat(1 << 14)
+            for o in (0, *ngram_join.FURTHER):  # partners share a prefix token under every order
+                prefix = lambda s, o=o: ngram_join.ranks(s, levels, o)[: ngram_join.prefix_size(len(s))]
+                assert set(prefix(a).tolist()) & set(prefix(b).tolist())
             assert ngram_join.may_link(len(a), ngram_join.bitmap(a), len(b), ngram_join.bitmap(b))
 
 
@@ -164,12 +189,32 @@ def test_packing_plan_fills_sequences_of_short_documents(hist):
 def test_tokens_of_odd_words():
     tokens = packing.tokens_of(packing.vocabulary_path())
     for text in ["", " ", "a\nb\tc", "don't I'll x's", "A\u030angstr\u00f6m \u212b", "<|endoftext|> a<|endoftext|>", "12 3.5,", "x\x1cy", "\u65e5\u672c\u8a9e", "a## c_ e.'s", "\u0130 \u00df \u1e9e"]:
-        words = packing.words_of(text)
-        tokens.learn(words)
-        got = packing.np.frombuffer(tokens.ids(words), "<u4").tolist()
+        got = packing.np.frombuffer(next(tokens.ids([text])), "<u4").tolist()
         assert got == [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_the_word_table_keeps_its_bound():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcDEF") for _ in range(9)) + rng.choice(["", ",", ".", "!?"])
+    tokens = packing.WordTokens(packing.vocabulary_path(), 1)
+    most = 0
+
+    class Watched(packing.WordTokens):
+        def learn(self, words):
+            nonlocal most
+            super().learn(words)
+            most = max(most, len(self) + len(self.marks))
+
+    watched = Watched(packing.vocabulary_path(), 1)
+    assert watched.most == 3 * packing.SLICE + 1
+    texts = [" ".join(word() for _ in range(n)) for n in (10, 0, 300, 2 * packing.SLICE + 5, 7, 20_000, 40)] + [None, "caf\u00e9 12 don't"]
+    got = list(watched.ids(texts))
+    assert most + sum(1 for w in set(" ".join(t or "" for t in texts).split()) if w not in watched) > watched.most  # it was emptied
+    assert most <= watched.most and len(watched) + len(watched.marks) <= watched.most
+    for text, ids in zip(texts, got, strict=True):
+        assert ids == tokens.encoded(text or "") + b"\0\0\0\0"
+
+
 def test_fingerprints(spark, rows):
     docs = [r for r in rows if r[0] is not None]
     order = sorted(((i, t or "") for i, t, _ in docs), key=lambda r: -r[0])
@@ -353,5 +398,32 @@ def test_empty_tables(spark):
     docs = table(spark, [(1, "x", "en")]).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
     path = packing.vocabulary_path()
-    for df in (ngram_join.groups(docs), ngram_join.keep_one(docs), packing.pack(docs, path), fingerprint.compare(docs), decontaminate.report(docs, bench), license_scan.scan(docs), sharding.shard(docs)):
+    for df in (ngram_join.groups(docs), ngram_join.keep_one(docs), packing.pack(docs, path), fingerprint.compare(docs), decontaminate.report(docs, bench), license_scan.scan(docs), sharding.shard(docs), fingerprint.fingerprint(docs), url_filter.judge(spark.createDataFrame([], "page_id long, url string"))):
         assert df.count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        assert module.score(docs, module.fit(docs, labels)).count() == 0
+    assert quality.keep_good(docs, quality.fit(docs, labels)).count() == 0
+
+
+def test_the_label_model_follows_votes_not_labels():
+    """A tenth of the labels is wrong; voters of unlike accuracy and two that copy one another are right of most rows."""
+    np = toxicity.np
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.2
+    rates = [(0.7, 0.01), (0.6, 0.02), (0.5, 0.01), (0.4, 0.01)]
+    votes = np.stack([np.where(truth, rng.random(4000) < hit, rng.random(4000) < miss) for hit, miss in rates], 1).astype(float)
+    votes = np.hstack([votes, votes[:, :1]])
+    labels = np.where(rng.random(4000) < 0.1, ~truth, truth).astype(int)
+    got = toxicity.label_model(votes, labels, 0.2) > 0.5
+    assert (got == truth).mean() > 0.94 > (labels == truth).mean()
+    assert got[(labels == 0) & truth].mean() > 0.7  # rows whose label is wrong
+
+
+def test_decontamination_counts_shingles_of_every_row(spark):
+    docs = spark.createDataFrame([("a b c d e f",), (None,), ("a b c d e a b c d e",), ("a b",)], "text string")
+    h = decontaminate.Hashes()
+    keys = sorted(decontaminate.runs(h.of(w.encode().split()), 5).item() for w in ("a b c d e", "b c d e f", "x y z u v"))
+    got = dict(zip(keys, decontaminate.count_shingles(docs, decontaminate.np.array(keys, "u8")).tolist(), strict=True))
+    key = lambda w: decontaminate.runs(h.of(w.encode().split()), 5).item()
+    assert got == {key("a b c d e"): 3, key("b c d e f"): 1, key("x y z u v"): 0}
