@@ -11,10 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once: rows may be long texts, so their number is no bound.
+BATCH_BYTES = 4 << 20
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, once for each application."""
+    """Make this package importable in Python workers, once for each application, and keep the
+    batches that they get small."""
     sc = spark.sparkContext
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
         buffer = io.BytesIO()
