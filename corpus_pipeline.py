@@ -14,7 +14,7 @@ from lattica.session import ship
 
 
 #: Words whose ids a worker keeps while packing: its executors still hold what earlier stages left.
-PACKING_WORDS = 250_000
+PACKING_WORDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
