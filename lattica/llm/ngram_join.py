@@ -13,10 +13,10 @@ Sets of five-word shingles (64-bit hashes); two link when 100 * |x & y| >= 80 *
    all lie in one component already need no more work; of tokens that the very same classes hold one
    stands for all, so a pair is made once and not once a shared token. Pairs across components
    are formed with length and positional bounds, never two of a token's largest component.
-4. The pairs that are left are held against the prefixes under further orders (rarest first too, but
-   with ties in another sequence): only pairs that share a prefix token under each go on. Then their
-   bitmaps (a bit for each hash end, four or more bits a token) bound the overlap from above: every
-   bit that one side lacks is a token that it lacks. Only then sets move and are intersected.
+4. A pair's bitmaps (a bit for each hash end, four or more bits a token) bound its overlap from above:
+   every bit that one side lacks is a token that it lacks. Pairs that are left are held against the
+   prefixes under further orders (rarest first too, but with ties in another sequence): only those
+   that share a prefix token under each go on. Only then sets move and are intersected.
 5. Components of all links. Every link between different components is found, so none is lost.
 
 Rows that share a doc_id are one node of the graph. Texts move only to be compared.
@@ -49,7 +49,7 @@ ORDERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x
 #: The rarity sketch has 2**CELL_BITS cells in chunks of 2**CHUNK_BITS.
 CELL_BITS, CHUNK_BITS = 24, 16
 #: Words of the folded bitmap that the pair join itself tests.
-WORDS = 32
+WORDS = 16
 #: Orders, after the first, under which candidates must meet.
 FURTHER = (1, 2)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -274,11 +274,11 @@ def sides(docs: DataFrame, levels_shared) -> DataFrame:
 
 
 def screened(docs: DataFrame, pairs: DataFrame, levels_shared) -> DataFrame:
-    """Those of ``pairs`` (a, b; staged) whose prefixes meet under each further order and that their
-    bitmaps don't rule out, staged. Only the sides of pairs are read for this."""
-    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "nodes")
+    """Those of ``pairs`` (a, b; staged) that their bitmaps don't rule out and whose prefixes meet
+    under each further order, staged. Only the sides of pairs are read for this."""
+    ends = lambda p: staged(p.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "nodes")
+    nodes = ends(pairs)
     seen = staged(sides(docs.join(small(nodes), F.col("doc_id") == F.col("_node")), levels_shared), "sides")
-    side = lambda x: seen.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in seen.columns[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,11 +287,19 @@ def screened(docs: DataFrame, pairs: DataFrame, levels_shared) -> DataFrame:
                 ok = [may_link(*row) for row in zip(*(part.column(i).to_pylist() for i in range(2, 6)), strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    def both(p: DataFrame, side: DataFrame) -> DataFrame:
+        for x in ("a", "b"):
+            p = p.join(side.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in side.columns if c != "node")), x)
+        return p
+
+    held = both(pairs, seen.select("node", "n", "bits"))
+    held = staged(held.select("a", "b", "na", "bitsa", "nb", "bitsb").transform(lean, run, "a long, b long").distinct(), "held")
+    left = ends(held)
+    met = both(held, seen.join(small(left), F.col("node") == F.col("_node")).select("node", *(f"p{o}" for o in FURTHER)))
     for o in FURTHER:
-        both = both.where(F.arrays_overlap(f"p{o}a", f"p{o}b"))
-    out = staged(both.select("a", "b", "na", "bitsa", "nb", "bitsb").transform(lean, run, "a long, b long").distinct(), "screened")
-    unstage(nodes, seen)
+        met = met.where(F.arrays_overlap(f"p{o}a", f"p{o}b"))
+    out = staged(met.select("a", "b").distinct(), "screened")
+    unstage(nodes, seen, held, left)
     return out
 
 
