@@ -13,6 +13,9 @@ Sets of five-word shingles (64-bit hashes); two link when 100 * |x & y| >= 80 *
    all lie in one component already need no more work; of tokens that the very same classes hold one
    stands for all, so a pair is made once and not once a shared token. Pairs across components
    are formed with length and positional bounds, never two of a token's largest component.
+   The join itself drops pairs by parities (a bit for each hash end: is the number of its tokens
+   odd?): every bit in which two differ is a token that only one side has. A bitmap fills up as sets
+   grow, parities only as sets differ, so families of near misses don't leave the join as pairs.
 4. A pair's bitmaps (a bit for each hash end, four or more bits a token) bound its overlap from above:
    every bit that one side lacks is a token that it lacks. Pairs that are left are held against the
    prefixes under further orders (rarest first too, but with ties in another sequence): only those
@@ -48,7 +51,7 @@ PERCENT = 80
 ORDERS = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 #: The rarity sketch has 2**CELL_BITS cells in chunks of 2**CHUNK_BITS.
 CELL_BITS, CHUNK_BITS = 24, 16
-#: Words of the folded bitmap that the pair join itself tests.
+#: Words of the parities that the pair join itself tests.
 WORDS = 16
 #: Orders, after the first, under which candidates must meet.
 FURTHER = (1, 2)
@@ -83,10 +86,10 @@ def bitmap(s: np.ndarray) -> bytes:
 
 
 def signature(s: np.ndarray) -> list[int]:
-    """A bitmap of ``WORDS`` words."""
-    bits = np.zeros(64 * WORDS, bool)
-    bits[(s & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64).tolist()
+    """``WORDS`` words of parities: whether an odd number of tokens has each low end. Bits in which
+    two sets differ are at most the tokens that only one of them has."""
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -194,7 +197,7 @@ def commonness(docs: DataFrame, levels_shared) -> DataFrame:
 
 def postings(docs: DataFrame, levels_shared) -> DataFrame:
     """(token, doc_id, comp, n, pos, sig) of each prefix token, and a row a document that has, in
-    place of a token, its folded bitmap. ``docs``: (doc_id, comp, text)."""
+    place of a token, its parities. ``docs``: (doc_id, comp, text)."""
     names = ["token", "doc_id", "comp", "n", "pos", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +321,7 @@ def shared_postings(posted: DataFrame) -> DataFrame:
 
 def candidates(marked: DataFrame, sigs: DataFrame) -> DataFrame:
     """(a, b) pairs of different components that share a prefix token and pass the length,
-    positional and folded-bitmap bounds, staged. ``marked``: as of ``shared_postings``; ``sigs``:
+    positional and parity bounds, staged. ``marked``: as of ``shared_postings``; ``sigs``:
     (doc_id, sig)."""
     size = marked.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = staged(size.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("big")), "largest")
@@ -330,11 +333,11 @@ def candidates(marked: DataFrame, sigs: DataFrame) -> DataFrame:
     a = own.where("comp <> big").select("token", *side("a"))
     b = own.select("token", *side("b"), (F.col("comp") == F.col("big")).alias("inbig"))
     need = f"ceil({PERCENT} * (na + nb) / {100 + PERCENT}D)"
-    lacks = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x & ~y)), 0, (sum, x) -> sum + x)"
+    differ = "aggregate(zip_with(sa, sb, (x, y) -> bit_count(x ^ y)), 0, (sum, x) -> sum + x)"
     bound = (
         f"ca <> cb and (inbig or a < b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
         f" and 1 + least(na - pa - 1, nb - pb - 1) >= {need} - least(pa, pb)"
-        f" and na - {lacks('sa', 'sb')} >= {need} and nb - {lacks('sb', 'sa')} >= {need}"
+        f" and na + nb - {differ} >= 2 * {need}"
     )
     pairs = staged(a.join(b, "token").where(bound).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "pairs")
     unstage(largest, members, words, own)

@@ -116,6 +116,46 @@ def test_bitmaps_never_rule_out_a_link():
             assert ngram_join.may_link(len(a), ngram_join.bitmap(a), len(b), ngram_join.bitmap(b))
 
 
+def test_parities_never_rule_out_a_link_and_drop_near_misses():
+    """Sets of 800 tokens of which 632 are shared: likeness 0.65. A bitmap of 1,024 bits let them pass."""
+    np = ngram_join.np
+    rng = np.random.default_rng(7)
+    differ = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(*([v & (1 << 64) - 1 for v in ngram_join.signature(s)] for s in (x, y)), strict=True))
+    dropped = 0
+    for k in range(300):
+        n = 800 if k < 100 else int(rng.integers(1, 3000))
+        t = np.unique(rng.integers(0, 1 << 63, 2 * n + 10).astype(np.uint64))
+        rng.shuffle(t)
+        shift = 168 if k < 100 else int(rng.integers(0, max(1, n // 5)))
+        x, y = np.sort(t[:n]), np.sort(t[shift : n + shift])
+        assert differ(x, y) <= len(np.setxor1d(x, y))
+        passes = len(x) + len(y) - differ(x, y) >= 2 * -(-80 * (len(x) + len(y)) // 180)
+        assert passes or not ngram_join.links(x, y)
+        dropped += k < 100 and not passes
+    assert dropped >= 90
+
+
+def test_near_misses_do_not_leave_the_pair_join(spark):
+    """A family of near misses: a pair of every two shares prefix tokens, none links."""
+    rng = random.Random(23)
+    base = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(1000)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.sample(range(0, 1000, 10), 26):
+            w[j] = f"own{i}x{j}"
+        texts.append(" ".join(w))
+    docs = table(spark, [(i, t, "en") for i, t in enumerate(texts)]).select("doc_id", "text", ngram_join.F.col("doc_id").alias("comp"))
+    np = ngram_join.np
+    sets = [ngram_join.shingles(t) for t in texts]
+    cells = np.bincount((np.concatenate(sets) >> np.uint64(64 - ngram_join.CELL_BITS)).astype(np.int64), minlength=1 << ngram_join.CELL_BITS)
+    levels = spark.sparkContext.broadcast(np.minimum(cells, 20).astype(np.uint8).tobytes())
+    posted = ngram_join.staged(ngram_join.postings(docs, levels), "postings")
+    got = ngram_join.candidates(ngram_join.shared_postings(posted.where("token is not null").drop("sig")), posted.where("token is null").select("doc_id", "sig"))
+    assert not any(ngram_join.links(x, y) for n, x in enumerate(sets) for y in sets[n + 1 :])
+    assert got.count() < 60 * 59 // 2 // 20
+
+
 def test_packing_places_every_id_once(spark, rows):
     docs = table(spark, rows)
     path = packing.vocabulary_path()
