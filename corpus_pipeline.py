@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm import decontaminate, language, ngram_join, packing, quality
-from lattica.llm.common import staged, table
+from lattica.llm.common import staged, sweep, table
 from lattica.session import ship
 
 
@@ -63,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        sweep(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

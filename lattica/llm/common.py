@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -110,6 +111,14 @@ def unstage(*frames: DataFrame) -> None:
             _delete(_staged.pop(path), path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have executors drop the broadcast tables of steps that are done. Spark's cleaner does so once
+    the driver's collector has met them, which may be after many more steps: until then they fill
+    the executors' heaps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, longer by as many underscores as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import fresh, lean, small, staged, table, unstage
+from .common import fresh, lean, small, staged, sweep, table, unstage
 from .components import components
 
 SHINGLE = 5
@@ -110,19 +110,45 @@ def signed(x: np.ndarray | int) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+class Cells:
+    """Counts of 2**CELL_BITS cells: a byte each, and beside them what was more than a byte holds."""
+
+    def __init__(self) -> None:
+        self.low = np.zeros(1 << CELL_BITS, np.uint8)
+        self.over: dict[int, int] = {}
+
+    def add(self, tokens: np.ndarray) -> None:
+        at, n = np.unique((tokens >> np.uint64(64 - CELL_BITS)).astype(np.int32), return_counts=True)
+        n += self.low[at]
+        high = n > 255
+        self.low[at] = np.where(high, 0, n)
+        for c, k in zip(at[high].tolist(), n[high].tolist(), strict=True):
+            self.over[c] = self.over.get(c, 0) + k
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(number, counts) of each chunk that isn't empty."""
+        at = np.array(sorted(self.over), np.int64)
+        n = np.array([self.over[c] for c in at.tolist()], np.uint32)
+        for c in range(1 << (CELL_BITS - CHUNK_BITS)):
+            own = self.low[c << CHUNK_BITS : (c + 1) << CHUNK_BITS].astype(np.uint32)
+            lo, hi = np.searchsorted(at, [c << CHUNK_BITS, (c + 1) << CHUNK_BITS])
+            own[at[lo:hi] - (c << CHUNK_BITS)] += n[lo:hi]
+            if own.any():
+                yield c, own
+
+
 def survey(docs: DataFrame) -> DataFrame:
     """Rows of two kinds. kind 0: a document's id, set size, digest, first tokens. kind 1: a task's
     counts of one chunk of cells (n: the chunk; cells: the counts, compressed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.uint32)
+        cells = Cells()
         waiting, size = [], 0
 
         def count() -> None:
             nonlocal waiting, size
             if waiting:
-                at, n = np.unique((np.concatenate(waiting) >> np.uint64(64 - CELL_BITS)).astype(np.int32), return_counts=True)
-                cells[at] += n.astype(np.uint32)
+                cells.add(np.concatenate(waiting))
             waiting, size = [], 0
 
         for batch in batches:
@@ -141,10 +167,8 @@ def survey(docs: DataFrame) -> DataFrame:
                 k = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.nulls(k, pa.binary())], names)
         count()
-        for c in range(1 << (CELL_BITS - CHUNK_BITS)):
-            own = cells[c << CHUNK_BITS : (c + 1) << CHUNK_BITS]
-            if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
+        for c, own in cells.chunks():
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.array([c], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names)
 
     names = ["kind", "doc_id", "n", "d1", "d2", "firsts", "cells"]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(lean, run, "kind int, doc_id long, n long, d1 long, d2 long, firsts array<long>, cells binary")
@@ -303,6 +327,7 @@ def screened(docs: DataFrame, pairs: DataFrame, levels_shared) -> DataFrame:
         met = met.where(F.arrays_overlap(f"p{o}a", f"p{o}b"))
     out = staged(met.select("a", "b").distinct(), "screened")
     unstage(nodes, seen, held, left)
+    sweep(docs.sparkSession)
     return out
 
 
@@ -316,6 +341,7 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     alone = staged(held.groupBy("c", "x", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "alone")
     out = staged(met.join(small(alone), "token"), "marked")
     unstage(mixed, met, alone)
+    sweep(posted.sparkSession)
     return out
 
 
@@ -341,6 +367,7 @@ def candidates(marked: DataFrame, sigs: DataFrame) -> DataFrame:
     )
     pairs = staged(a.join(b, "token").where(bound).select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct(), "pairs")
     unstage(largest, members, words, own)
+    sweep(marked.sparkSession)
     return pairs
 
 

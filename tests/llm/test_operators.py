@@ -156,6 +156,46 @@ def test_near_misses_do_not_leave_the_pair_join(spark):
     assert got.count() < 60 * 59 // 2 // 20
 
 
+def test_cells_count_beyond_a_byte_in_a_byte_each():
+    import tracemalloc
+
+    np = ngram_join.np
+    rng = np.random.default_rng(9)
+    tokens = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    hot = np.repeat(tokens[:5], [255, 256, 300, 70_000, 1])
+    tracemalloc.start()
+    cells = ngram_join.Cells()
+    for part in (tokens, hot, hot, tokens[:100]):
+        cells.add(part)
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20  # four bytes a cell would take 64 MiB
+    tracemalloc.stop()
+    every = np.concatenate([tokens, hot, hot, tokens[:100]])
+    want = np.bincount((every >> np.uint64(64 - ngram_join.CELL_BITS)).astype(np.int64), minlength=1 << ngram_join.CELL_BITS)
+    got = np.zeros(1 << ngram_join.CELL_BITS, np.int64)
+    for c, own in cells.chunks():
+        got[c << ngram_join.CHUNK_BITS : (c + 1) << ngram_join.CHUNK_BITS] = own
+    assert (got == want).all()
+
+
+def test_components_leave_no_broadcast_tables(spark):
+    import time
+
+    from lattica.llm import common
+
+    used = spark._jvm.org.apache.spark.SparkEnv.get().memoryManager().storageMemoryUsed
+    common.sweep(spark)
+    time.sleep(1)
+    before = used()
+    wide = common.staged(spark.range(300_000).selectExpr("id as a", "id + 1 as b"), "wide")
+    edges = common.staged(spark.range(10).selectExpr("id as a").join(ngram_join.F.broadcast(wide), "a"), "edges")
+    ngram_join.components(edges)
+    for _ in range(20):
+        time.sleep(0.5)
+        if used() <= before + (1 << 20):
+            break
+    assert used() <= before + (1 << 20)
+
+
 def test_packing_places_every_id_once(spark, rows):
     docs = table(spark, rows)
     path = packing.vocabulary_path()
