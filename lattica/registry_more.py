@@ -555,8 +555,9 @@ def _(s, d):
     event = lambda seq, kind, at, blk, rev: F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), at.alias("at"), blk.alias("blk"), rev.alias("rev"))
     commit = event(F.col("event_id"), "commit", none, F.col("user_id"), F.col("event_id"))
     opened = F.when(F.col("event_id") == 0, event(F.lit(-1).cast("long"), "open", none, none, F.lit(0).cast("long")))
+    moved = F.when(F.col("event_id") == head, event(F.col("event_id"), "commit", none, none, F.col("event_id")))
     asked = F.when(F.col("event_id") == head, event(F.lit(head + 1).cast("long"), "watch", F.lit(lo).cast("long"), none, none))
-    events = log_.select(F.lit("w").alias("watcher"), F.lit(1).cast("long").alias("file_id"), F.explode(F.filter(F.array(commit, opened, asked), lambda x: x.isNotNull())).alias("e")).select("watcher", "file_id", "e.*")
+    events = log_.select(F.lit("w").alias("watcher"), F.lit(1).cast("long").alias("file_id"), F.explode(F.filter(F.array(commit, opened, moved, asked), lambda x: x.isNotNull())).alias("e")).select("watcher", "file_id", "e.*")
     out = f"{scratch(s)}/lattica-watch-{uuid.uuid4().hex}"
-    watch.link(events).writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
+    watch.link(events, parts=head // watch.PER_PART + 1).writeStream.format("parquet").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
     return s.read.parquet(out).where("say = 'pin'").select("blk", "rev")

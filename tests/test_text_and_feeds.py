@@ -111,3 +111,48 @@ def test_pins_of_a_feed(spark, tmp_path):
     for r in spark.table("pins").where("say = 'pin'").collect():
         got.setdefault(r.watcher, {})[r.blk] = r.rev
     assert got == {"a": {0: 0, 2: 1, 3: 0, 5: 0}, "b": {2: 3, 3: 2, 5: 3}}
+
+
+def test_a_watcher_in_parts_says_the_same(spark, tmp_path):
+    """Waiting, refused and moved watches; revisions that a float doesn't hold."""
+    base = 1 << 60
+    events = [(-1, "open", None, None, base)]
+    for i in range(60):
+        events += [(i, "commit", None, i * 7 % 11, base + i), (i, "commit", None, None, base + i)]
+    events += [(5, "watch", base + 20, None, None), (30, "watch", base + 25, None, None), (31, "watch", base + 1, None, None), (33, "confirm", None, 3, None)]
+    events += [(40, "unwatch", None, None, None), (45, "forget", None, None, base + 30), (46, "watch", base + 29, None, None), (60, "watch", base + 41, None, None)]
+    schema = "seq long, kind string, at long, blk long, rev long"
+    rows = spark.createDataFrame(events, schema).selectExpr("'w' AS watcher", "1L AS file_id", "*")
+    rows.write.parquet(str(tmp_path / "in"))
+
+    def said(parts: int) -> list:
+        name = f"said{parts}"
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        query = link(source, parts=parts).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        return sorted(map(str, spark.table(name).collect()))
+
+    at = Link()
+    order = sorted(events, key=lambda e: (e[0], e[1] != "open", e[1] != "commit"))
+    want = sorted(f"Row(watcher='w', file_id=1, seq={seq}, say={say!r}, blk={blk}, rev={rev}, error={error!r})" for e in order for seq, say, blk, rev, error in at.event(*e))
+    assert said(1) == want and said(5) == want
+    assert sum("'ok'" in x for x in want) == 4 and sum("'error'" in x for x in want) == 2
+    with pytest.raises(ValueError):
+        link(rows, pin_timeout=1, parts=2)
+
+
+def test_the_watch_query_bounds_a_part(spark, monkeypatch):
+    """No state of the query takes many more events than its bound, however long the log."""
+    from lattica import registry
+    from lattica.streaming import watch
+
+    asked, made = [], watch.link
+    monkeypatch.setattr(watch, "PER_PART", 50)
+    monkeypatch.setattr(watch, "link", lambda events, **how: asked.append(how) or made(events, **how))
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    got = registry.QUERIES["watch_stream"](spark, d).collect()
+    log = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id").collect()
+    changed = {r.user_id for r in log if r.event_id > n // 3}
+    want = {b: max((r.event_id for r in log if r.user_id == b and r.event_id <= n // 3), default=0) for b in changed}
+    assert sorted(map(tuple, got)) == sorted(want.items()) and asked[0]["parts"] * 50 >= n
