@@ -2,12 +2,15 @@
 
 Sets are swept: every range opens a place before ``lo`` and closes one behind ``hi``; at each place
 the numbers of open ranges are running sums. The places are dealt into buckets at quantiles of the
-data, summed inside a bucket, and shifted by what the buckets before it sum up to (a row a bucket),
-so no window spans the line, ranges aren't cut, and their width doesn't matter. What is put out is
-where the state changes, so results are coalesced.
+data (found by bisection), summed inside a bucket, and shifted by what the buckets before it sum up
+to (a row a bucket), so no window spans the line, ranges aren't cut, and their width doesn't matter.
+Places move once. What is put out is where the state changes, so results are coalesced.
 
-Pairs that overlap are joined by level: a range of 2**(k-1) to 2**k keys touches two buckets of 2**k
-at most, and so does every shorter one.
+A set of integers is a table of words of 64 bits first: stretches inside a word are ranges already,
+and only those that touch a word's edge are swept.
+
+Pairs that overlap are joined by level: a range of at most 2**k keys touches two buckets of 2**k at
+most. Levels are three bits apart, so short ranges of about a length are all at one.
 
 Rows with lo > hi are empty ranges and add nothing. Values must not be null; ranges of a map must
 not overlap (``violations`` tells). Keys may be any longs, both ends included.
@@ -23,62 +26,93 @@ from pyspark.sql import functions as F
 from ..session import settled
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-#: Places that a bucket of the sweep holds, roughly.
+#: Places that a bucket of the sweep holds, roughly, and the most buckets.
 PER_BUCKET = 50_000
+MOST_BUCKETS = 10_000
+#: Bits between the levels of the pair join.
+LEVEL_BITS = 3
 
 
 def of_keys(keys: DataFrame, key: str) -> DataFrame:
-    """Coalesced ranges of a set of integers."""
-    return coalesced(keys.select(F.col(key).cast("long").alias("lo"), F.col(key).cast("long").alias("hi")).distinct())
+    """Coalesced ranges of a set of integers; it may come with repetitions."""
+    k = F.col(key).cast("long")
+    bit = F.expr(f"shiftleft(1L, cast(cast(`{key}` as long) & 63 as int))")
+    words = keys.where(k.isNotNull()).groupBy(F.shiftright(k, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = settled(words)  # read twice
+    ends = {"first": "bits & ~shiftleft(bits, 1)", "last": "bits & ~shiftrightunsigned(bits, 1)"}
+    each = F.arrays_zip(*(_places_of(F.expr(e)).alias(name) for name, e in ends.items()))
+    runs = words.select("word", F.explode(each).alias("x"))
+    at = lambda name: F.shiftleft("word", 6) + F.col("x")[name]
+    runs = runs.select(at("first").alias("lo"), at("last").alias("hi"), ((F.col("x")["first"] == 0) | (F.col("x")["last"] == 63)).alias("_edge"))
+    return runs.where("not _edge").select("lo", "hi").unionByName(coalesced(runs.where("_edge").select("lo", "hi")))
+
+
+def _places_of(bits: Column) -> Column:
+    """Numbers of the bits that are set, in order."""
+    one = F.length(F.bin(bits)) - 1
+    every = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(bits, i) == 1)
+    return F.when(F.bit_count(bits) == 1, F.array(one)).otherwise(every)
+
 
+def _sided(ranges: DataFrame, side: int) -> DataFrame:
+    return ranges.where("lo <= hi").select(F.lit(side).alias("side"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), *(["value"] if "value" in ranges.columns else []))
 
-def _places(ranges: DataFrame, opens: str) -> DataFrame:
+
+def _places(ranges: DataFrame, valued: bool) -> DataFrame:
     """Two rows a range: where it opens and where it closes. A place is (last, pos): before ``pos``;
-    with ``last``, behind the greatest long."""
-    value = F.col("value") if "value" in ranges.columns else F.lit(None).cast("string")
-    behind = F.struct((F.col("hi") == MOST).alias("last"), F.when(F.col("hi") < MOST, F.col("hi") + 1).otherwise(F.lit(MOST)).alias("pos"))
-    ends = F.array(
-        F.struct(F.struct(F.lit(False).alias("last"), F.col("lo").alias("pos")).alias("at"), F.lit(1).alias("d"), value.alias("v")),
-        F.struct(behind.alias("at"), F.lit(-1).alias("d"), F.lit(None).cast(ranges.schema["value"].dataType if "value" in ranges.columns else "string").alias("v")),
-    )
-    out = ranges.where("lo <= hi").select(F.explode(ends).alias("x")).select("x.at", F.col("x.d").alias("d"), F.col("x.v").alias("v"))
-    none = F.lit(0)
-    return out.select("at", (F.col("d") if opens == "a" else none).alias("da"), (F.col("d") if opens == "b" else none).alias("db"), "v")
+    with ``last``, behind the greatest long. With the numbers of ranges that open less those that
+    close there, of either side."""
+    value = {"v": F.col("value")} if valued else {}
+    behind = {"last": F.col("hi") == MOST, "pos": F.when(F.col("hi") < MOST, F.col("hi") + 1).otherwise(F.lit(MOST)), "d": F.lit(-1)} | {c: F.lit(None).cast(ranges.schema["value"].dataType) for c in value}
+    before = {"last": F.lit(False), "pos": F.col("lo"), "d": F.lit(1)} | value
+    ends = F.array(*(F.struct(*(x.alias(c) for c, x in end.items())) for end in (before, behind)))
+    own = lambda side: F.when(F.col("side") == side, F.col("x.d")).otherwise(0)
+    return ranges.select("side", F.explode(ends).alias("x")).select("x.last", "x.pos", own(0).alias("da"), own(1).alias("db"), *(f"x.{c}" for c in value))
+
+
+def _bucket(pos: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are <= ``pos``, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # one literal
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda i, step: i + F.when(F.get(held, i + step - 1) <= pos, step).otherwise(0))
 
 
 def _sweep(a: DataFrame, b: DataFrame | None, keep: Callable[[Column, Column], Column]) -> DataFrame:
     """Ranges on which ``keep(open ranges of a, open ranges of b)`` holds; with a's values if it has any."""
-    spark = a.sparkSession
     valued = "value" in a.columns
-    places = _places(a, "a")
+    ranges = _sided(a, 0)
     if b is not None:
-        places = places.unionByName(_places(b.select("lo", "hi"), "b").withColumn("v", F.lit(None).cast(places.schema["v"].dataType)))
-    at = settled(places.groupBy("at").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), F.max("v").alias("v")))  # read several times
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = at.count()
-    parts = min(most * 4, -(-n // PER_BUCKET))
+        ranges = ranges.unionByName(_sided(b.select("lo", "hi"), 1), allowMissingColumns=True)
+    ranges = settled(ranges)  # read several times
+    parts = min(MOST_BUCKETS, -(-2 * ranges.count() // PER_BUCKET))
     cuts: list[int] = []
     if parts > 1:
-        cuts = sorted(set(at.agg(F.percentile_approx("at.pos", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("at.pos"))) if cuts else F.lit(0)
-    at = at.withColumn("bucket", bucket.cast("int"))
+        ends = ranges.select(F.explode(F.array("lo", "hi")).alias("pos"))
+        cuts = sorted(set(ends.agg(F.percentile_approx("pos", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []))
+    places = _places(ranges, valued).withColumn("bucket", _bucket(F.col("pos"), cuts))
+    at = F.struct("last", "pos")
 
     whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over a row a bucket
-    sums = at.groupBy("bucket").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), F.max_by("v", F.when(F.col("v").isNotNull(), F.col("at"))).alias("v"))
-    sums = sums.select("bucket", F.coalesce(F.sum("da").over(whole), F.lit(0)).alias("a0"), F.coalesce(F.sum("db").over(whole), F.lit(0)).alias("b0"), F.last("v", True).over(whole).alias("v0"))
-    upto = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    swept = at.select("*", F.sum("da").over(upto).alias("sa"), F.sum("db").over(upto).alias("sb"), F.last("v", True).over(upto).alias("va"), F.last("v", True).over(before).alias("vb")).join(F.broadcast(sums), "bucket")
+    sums = places.groupBy("bucket").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), *([F.max(F.when(F.col("v").isNotNull(), F.struct(at.alias("at"), "v")))["v"].alias("v")] if valued else []))
+    sums = sums.select("bucket", F.coalesce(F.sum("da").over(whole), F.lit(0)).alias("a0"), F.coalesce(F.sum("db").over(whole), F.lit(0)).alias("b0"), *([F.last("v", True).over(whole).alias("v0")] if valued else []))
+    line = Window.partitionBy("bucket").orderBy("last", "pos")
+    upto, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
+    merged = places.repartition("bucket").groupBy("bucket", "last", "pos").agg(F.sum("da").alias("da"), F.sum("db").alias("db"), *([F.max("v").alias("v")] if valued else []))
+    values = (F.last("v", True).over(upto).alias("va"), F.last("v", True).over(before).alias("vb")) if valued else ()
+    swept = merged.select("*", F.sum("da").over(upto).alias("sa"), F.sum("db").over(upto).alias("sb"), *values).join(F.broadcast(sums), "bucket")
     open_a, open_b = F.col("a0") + F.col("sa"), F.col("b0") + F.col("sb")
-    now = F.when(keep(open_a, open_b), F.struct(F.coalesce("va", "v0").alias("v")))
-    was = F.when(keep(open_a - F.col("da"), open_b - F.col("db")), F.struct(F.coalesce("vb", "v0").alias("v")))
-    turns = swept.select("bucket", "at", now.alias("now"), was.alias("was")).where(~F.col("now").eqNullSafe(F.col("was")))
+    state = lambda x, y, v: F.when(keep(x, y), F.struct(F.coalesce(v, "v0").alias("v")) if valued else F.lit(True))
+    turns = swept.select("bucket", "last", "pos", state(open_a, open_b, "va").alias("now"), state(open_a - F.col("da"), open_b - F.col("db"), "vb").alias("was"))
+    turns = turns.where(~F.col("now").eqNullSafe(F.col("was"))).select("bucket", at.alias("at"), "now", F.lead(at).over(line).alias("_next"))
+    turns = settled(turns)  # read twice
 
     # a kept stretch ends where the state turns next; for a bucket's last one that is in a later bucket
     firsts = turns.groupBy("bucket").agg(F.min("at").alias("first"))
     following = Window.orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
     firsts = firsts.select("bucket", F.min("first").over(following).alias("_later"))
-    turns = turns.withColumn("_next", F.lead("at").over(Window.partitionBy("bucket").orderBy("at"))).join(F.broadcast(firsts), "bucket").where("now is not null")
+    turns = turns.where("now is not null").join(F.broadcast(firsts), "bucket")
     end = F.coalesce("_next", "_later")
     hi = F.when(end["last"], F.lit(MOST)).otherwise(end["pos"] - F.when(end["last"], 0).otherwise(1))
     return turns.select(F.col("at.pos").alias("lo"), hi.alias("hi"), *([F.col("now.v").alias("value")] if valued else []))
@@ -121,20 +155,20 @@ def del_range(ranges: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def _level(lo: str, hi: str) -> Column:
-    """Bits of hi - lo, 63 at most."""
-    return F.least(F.lit(63), F.coalesce(F.length(F.bin(F.expr(f"try_subtract({hi}, {lo})"))), F.lit(63)))
+    """Bits of hi - lo, up to the next level, 63 at most."""
+    bits = F.coalesce(F.length(F.bin(F.expr(f"try_subtract({hi}, {lo})"))), F.lit(63))
+    return F.least(F.lit(63), (F.ceil(bits / LEVEL_BITS) * LEVEL_BITS).cast("int"))
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     """The columns of ``a``, and those of ``b`` (lo2, hi2, value2), of each pair of ranges that meet."""
-    a = a.where("lo <= hi").withColumn("_la", _level("lo", "hi"))
-    b = b.where("lo <= hi").select(*(F.col(c).alias(c + "2") for c in b.columns)).withColumn("_lb", _level("lo2", "hi2"))
-    levels = sorted({r[0] for r in a.select("_la").distinct().unionByName(b.select(F.col("_lb").alias("_la")).distinct()).collect()})  # 63 at most
-    every = F.array(*map(F.lit, levels))
-
-    def keyed(side: DataFrame, lo: str, hi: str, own: str, least: bool) -> DataFrame:
-        """Once for each bucket that a range touches, at its own level (``least``) or at all from it on."""
-        at = side.withColumn("_level", F.col(own) if least else F.explode(F.filter(every, lambda k: k >= F.col(own))))
+    a = settled(a.where("lo <= hi").withColumn("_la", _level("lo", "hi")))  # both are read several times
+    b = settled(b.where("lo <= hi").select(*(F.col(c).alias(c + "2") for c in b.columns)).withColumn("_lb", _level("lo2", "hi2")))
+    levels_a, levels_b = ([r[0] for r in side.select(own).distinct().collect()] for side, own in ((a, "_la"), (b, "_lb")))  # 22 at most
+
+    def keyed(side: DataFrame, lo: str, hi: str, level: Column) -> DataFrame:
+        """Once for each bucket that a range touches."""
+        at = side.withColumn("_level", level)
         touched = F.array_distinct(F.array(F.expr(f"shiftright({lo}, _level)"), F.expr(f"shiftright({hi}, _level)")))
         return at.withColumn("_bucket", F.explode(touched))
 
@@ -142,8 +176,10 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
         both = x.join(y, ["_level", "_bucket"]).where("lo <= hi2 and lo2 <= hi and _bucket = shiftright(greatest(lo, lo2), _level)")
         return both.drop("_level", "_bucket", "_la", "_lb")
 
-    longer_b = met(keyed(a, "lo", "hi", "_la", False), keyed(b, "lo2", "hi2", "_lb", True))
-    longer_a = met(keyed(a, "lo", "hi", "_la", True), keyed(b, "lo2", "hi2", "_lb", False).where("_lb < _level"))
+    # the longer one is at its own level, the other at all that longer ones have
+    at_all = lambda levels, keep: F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), keep))
+    longer_b = met(keyed(a, "lo", "hi", at_all(levels_b, lambda k: k >= F.col("_la"))), keyed(b, "lo2", "hi2", F.col("_lb")))
+    longer_a = met(keyed(a, "lo", "hi", F.col("_la")), keyed(b, "lo2", "hi2", at_all(levels_a, lambda k: k > F.col("_lb"))))
     return longer_b.unionByName(longer_a)
 
 

@@ -271,8 +271,12 @@ def _(s, d):
     return history.Tail(log(s, d), -1, head).track(log(s, d)).retained([lo], head).forget(lo).rev_at(hi).select("blk", "rev", "exact")
 
 
+def order_keys(s, d, flag):
+    return table(s, d, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("k"))
+
+
 def keys(s, d, flag):
-    return table(s, d, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("k")).distinct()
+    return order_keys(s, d, flag).distinct()
 
 
 for _name, _op, _f in (("union", "UNION", sets.union), ("intersection", "INTERSECT", sets.intersection), ("difference", "EXCEPT", sets.difference)):
@@ -293,16 +297,16 @@ _A, _R = ("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = '"
 
 @query("ranges_coalesce", _islands(_A))
 def _(s, d):
-    return intervals.of_keys(keys(s, d, "A"), "k")
+    return intervals.of_keys(order_keys(s, d, "A"), "k")
 
 
 for _name, _op, _f in (("union", "UNION", intervals.union), ("intersection", "INTERSECT", intervals.intersection), ("difference", "EXCEPT", intervals.difference)):
-    query(f"ranges_{_name}", _islands(f"{_A} {_op} {_R}"))(lambda s, d, f=_f: f(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k")))
+    query(f"ranges_{_name}", _islands(f"{_A} {_op} {_R}"))(lambda s, d, f=_f: f(intervals.of_keys(order_keys(s, d, "A"), "k"), intervals.of_keys(order_keys(s, d, "R"), "k")))
 
 
 @query("ranges_overlap_join", f"SELECT a.lo, a.hi, b.lo AS lo2, b.hi AS hi2 FROM ({_islands(_A)}) a JOIN ({_islands(_R)}) b ON a.lo <= b.hi AND b.lo <= a.hi")
 def _(s, d):
-    return intervals.overlaps(intervals.of_keys(keys(s, d, "A"), "k"), intervals.of_keys(keys(s, d, "R"), "k"))
+    return intervals.overlaps(intervals.of_keys(order_keys(s, d, "A"), "k"), intervals.of_keys(order_keys(s, d, "R"), "k"))
 
 
 from . import registry_more  # noqa: E402, F401  the rest of the queries

@@ -12,7 +12,7 @@ from .functions import blocks as byte_blocks
 from .functions import scalar, text
 from .operators import generate, history, intervals, sets
 from .operators.array import Array, Live
-from .registry import _A, _HI, _LO, _N, _PINS, _R, _islands, item, keys, log, query, signal, size, table, thirds
+from .registry import _A, _HI, _LO, _N, _PINS, _R, _islands, item, keys, log, order_keys, query, signal, size, table, thirds
 from .session import scratch
 from .sources import blockstore, custom
 from .sources.store import ConflictError, Store
@@ -285,7 +285,7 @@ def range_map(s, d) -> DataFrame:
     """Ranges of keys with values, and one to either end of the longs."""
     top = table(s, d, "lineitem").agg(F.max("l_orderkey")).first()[0]
     ends = s.createDataFrame([(intervals.LEAST, 0, "below"), (top + 10, intervals.MOST, "above")], "lo long, hi long, value string")
-    own = intervals.of_keys(keys(s, d, "A"), "k").where("lo > 0")
+    own = intervals.of_keys(order_keys(s, d, "A"), "k").where("lo > 0")
     return own.select("lo", "hi", F.when(F.col("lo") % 2 == 0, "even").otherwise("odd").alias("value")).unionByName(ends)
 
 
@@ -299,7 +299,7 @@ _ASKED = f"(SELECT DISTINCT lo - 1 AS lo, hi + 2 AS hi FROM ({_islands(_R)}))"
 
 
 def asked_ranges(s, d) -> DataFrame:
-    return intervals.of_keys(keys(s, d, "R"), "k").select((F.col("lo") - 1).alias("lo"), (F.col("hi") + 2).alias("hi"))
+    return intervals.of_keys(order_keys(s, d, "R"), "k").select((F.col("lo") - 1).alias("lo"), (F.col("hi") + 2).alias("hi"))
 
 
 _COVER = f"(SELECT lo, hi FROM ({_islands(_A)}))"
@@ -307,12 +307,12 @@ _COVER = f"(SELECT lo, hi FROM ({_islands(_A)}))"
 
 @query("range_has", f"SELECT q.lo, q.hi, coalesce(bool_or(m.lo <= q.lo AND q.hi <= m.hi), false) AS has FROM {_ASKED} q LEFT JOIN {_COVER} m ON m.lo <= q.hi AND q.lo <= m.hi GROUP BY q.lo, q.hi")
 def _(s, d):
-    return intervals.tested(intervals.of_keys(keys(s, d, "A"), "k"), asked_ranges(s, d)).select("lo", "hi", "has")
+    return intervals.tested(intervals.of_keys(order_keys(s, d, "A"), "k"), asked_ranges(s, d)).select("lo", "hi", "has")
 
 
 @query("range_intersects", f"SELECT q.lo, q.hi, count(m.lo) > 0 AS intersects FROM {_ASKED} q LEFT JOIN {_COVER} m ON m.lo <= q.hi AND q.lo <= m.hi GROUP BY q.lo, q.hi")
 def _(s, d):
-    return intervals.tested(intervals.of_keys(keys(s, d, "A"), "k"), asked_ranges(s, d)).select("lo", "hi", "intersects")
+    return intervals.tested(intervals.of_keys(order_keys(s, d, "A"), "k"), asked_ranges(s, d)).select("lo", "hi", "intersects")
 
 
 #: The part [x, y] cut out of the map.
@@ -349,7 +349,7 @@ def _(s, d):
 
 @query("ranges_symmetric", _islands(f"({_A} EXCEPT {_R}) UNION ALL ({_R} EXCEPT {_A})"))
 def _(s, d):
-    a, r = (intervals.of_keys(keys(s, d, x), "k") for x in "AR")
+    a, r = (intervals.of_keys(order_keys(s, d, x), "k") for x in "AR")
     return intervals.union(intervals.difference(a, r), intervals.difference(r, a))
 
 

@@ -332,3 +332,28 @@ def test_dtypes():
             spark_type(bad)
     assert spark_type("u8").simpleString() == "decimal(20,0)" and spark_type("c16").simpleString() == "struct<re:double,im:double>"
     assert spark_type([("x", "<i2"), ("y", "f8", (2,))]).simpleString() == "struct<x:smallint,y:array<double>>"
+
+
+def test_buckets_are_found_by_bisection(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 3, 4, 100, 1000):
+        cuts = sorted({intervals.LEAST, intervals.MOST, *(int(k) for k in np.random.default_rng(n).integers(-5000, 5000, n))})[: n or None] if n else []
+        keys = [intervals.LEAST, -5001, -1, 0, 1, 7, 5001, intervals.MOST - 1, intervals.MOST, *cuts[:50]]
+        got = spark.createDataFrame([(k,) for k in keys], "k long").select("k", intervals._bucket(F.col("k"), cuts).alias("b")).collect()
+        assert all(r.b == bisect_right(cuts, r.k) for r in got)
+
+
+def test_overlaps_of_short_and_wide_ranges(spark):
+    """Short ranges share a level, so that none is repeated at several; wide ones meet them all."""
+    rng = np.random.default_rng(3)
+    least, most = intervals.LEAST, intervals.MOST
+    wide = [(least, most), (least, -5), (0, most), (7, 6), (-3, 1 << 40), (most, most), (least, least)]
+    a, b = ([*((int(x), int(x) + int(n)) for x, n in zip(rng.integers(-60, 60, 30), 2 ** rng.integers(0, 7, 30) - 1, strict=True)), *wide] for _ in range(2))
+    table = lambda rows: spark.createDataFrame(rows, "lo long, hi long")
+    got = sorted(tuple(r) for r in intervals.overlaps(table(a), table(b)).collect())
+    assert got == sorted((*x, *y) for x in a for y in b if x[0] <= x[1] and y[0] <= y[1] and x[0] <= y[1] and y[0] <= x[1])
+    levels = table([(0, n) for n in range(8)]).select(intervals._level("lo", "hi").alias("k")).distinct().collect()
+    assert len(levels) == 1
