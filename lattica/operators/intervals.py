@@ -137,6 +137,11 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return _sweep(a, b, lambda x, y: (x > 0) & (y <= 0))
 
 
+def symmetric(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys of one of them only."""
+    return _sweep(a.select("lo", "hi"), b, lambda x, y: (x > 0) != (y > 0))
+
+
 def set_ranges(ranges: DataFrame, new: DataFrame) -> DataFrame:
     """The map with the ranges of ``new`` (lo, hi, value) overwriting it."""
     return coalesced(difference(ranges, new).unionByName(new.select("lo", "hi", "value")))

@@ -350,7 +350,7 @@ def _(s, d):
 @query("ranges_symmetric", _islands(f"({_A} EXCEPT {_R}) UNION ALL ({_R} EXCEPT {_A})"))
 def _(s, d):
     a, r = (intervals.of_keys(order_keys(s, d, x), "k") for x in "AR")
-    return intervals.union(intervals.difference(a, r), intervals.difference(r, a))
+    return intervals.symmetric(a, r)
 
 
 # ---- sets ----

@@ -334,6 +334,34 @@ def test_dtypes():
     assert spark_type([("x", "<i2"), ("y", "f8", (2,))]).simpleString() == "struct<x:smallint,y:array<double>>"
 
 
+def test_ranges_of_keys_and_symmetric_difference(spark, monkeypatch):
+    """Repeated keys, words' edges, both ends of the longs; only stretches at words' edges are swept."""
+    rng = np.random.default_rng(2)
+    least, most = intervals.LEAST, intervals.MOST
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+
+    def islands(found):
+        out = []
+        for k in sorted(found):
+            if out and out[-1][1] == k - 1:
+                out[-1] = (out[-1][0], k)
+            else:
+                out.append((k, k))
+        return out
+
+    pick = lambda: {int(k) for k in rng.integers(-400, 400, 500)} | {least, least + 1, most - 64, most - 63, most, *range(1000, 1200)}
+    a, b = pick(), pick() - {least, 1100}
+    table = lambda keys: spark.createDataFrame([(k,) for k in [*keys, *keys, None]], "k long")
+    swept, sweep = [], intervals._sweep
+    monkeypatch.setattr(intervals, "_sweep", lambda x, y, keep: swept.append(x.count()) or sweep(x, y, keep))
+    of_a, of_b = intervals.of_keys(table(a), "k"), intervals.of_keys(table(b), "k")
+    assert got(of_a) == islands(a) and sum(swept) < len(islands(a))
+    swept.clear()
+    monkeypatch.setattr(intervals, "PER_BUCKET", 16)
+    assert got(intervals.symmetric(of_a, of_b)) == islands(a ^ b) and len(swept) == 1
+    assert got(intervals.of_keys(table([]), "k")) == []
+
+
 def test_buckets_are_found_by_bisection(spark):
     from bisect import bisect_right
 
